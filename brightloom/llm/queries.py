@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import exact_dedup, packing
+from brightloom.llm import decontamination, exact_dedup, language_id, packing, simhash
 from brightloom.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of benchmark items in documents, with up to 5 % edits."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and acceptance of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs (doc_id, keep_id): each document that is near another, and the smallest of its group."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs (doc_id, keep_id) of documents with the same bytes."""
     return exact_dedup.duplicate_pairs(table(spark, sf_dir, "documents"))
@@ -20,7 +36,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_exact_dedup, op7_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """

@@ -4,21 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import exact_dedup, packing
+from brightloom.llm import decontamination, exact_dedup, language_id, packing, simhash
 from brightloom.llm.common import run_dir, table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is recognised."""
+    return language_id.accepted(docs, language_id.train(docs))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of documents with the same bytes."""
     return exact_dedup.exact_dedup(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of near-duplicates."""
+    return simhash.near_dedup(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining documents in windows."""
     return packing.pack(docs)
 
 
-STAGES = [("exact_dedup", exact), ("packing", packed)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", clean), ("packing", packed)]
 
 #: The stages' models and sequential packing are beyond SQL.
 ORACLE_SQL = None
