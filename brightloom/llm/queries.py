@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontamination, exact_dedup, language_id, packing, simhash
+from brightloom.llm import decontamination, exact_dedup, language_id, packing, simhash, toxicity
 from brightloom.llm.common import table
 
 
@@ -36,7 +36,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents found toxic, with their scores."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
