@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontamination, exact_dedup, language_id, packing, simhash, toxicity
+from brightloom.llm import decontamination, exact_dedup, language_id, licenses, packing, simhash, toxicity
 from brightloom.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts and notices in documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, confidence and acceptance of each document."""
     docs = table(spark, sf_dir, "documents")
@@ -42,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_license_scan, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
