@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontamination, exact_dedup, language_id, licenses, packing, simhash, toxicity
-from brightloom.llm.common import table
+from brightloom.llm import decontamination, exact_dedup, language_id, licenses, packing, simhash, toxicity, warc
+from brightloom.llm.common import cut, run_dir, table
+
+
+def op1_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as monolithic crawl files, normalised: the index of every record."""
+    files = cut(warc.monoliths(table(spark, sf_dir, "pages"), run_dir(spark, "crawl")))
+    # a file is a task's work, so each row of the list is a partition's
+    listed = files.repartitionByRange(max(1, files.count()), "path")
+    return warc.normalise(listed, run_dir(spark, "members"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_license_scan, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normalise, op2_decontamination, op3_license_scan, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
