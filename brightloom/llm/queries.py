@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brightloom.llm import decontamination, exact_dedup, html_extract, language_id, licenses, packing, simhash, toxicity, warc
+from brightloom.llm import decontamination, exact_dedup, html_extract, language_id, licenses, packing, pii, simhash, toxicity, warc
 from brightloom.llm.common import cut, run_dir, table
 
 
@@ -55,13 +55,18 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(pages, html_extract.train(pages))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal identifiers and secrets in documents."""
+    return pii.identifiers(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents found toxic, with their scores."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normalise, op2_decontamination, op3_license_scan, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing, op8_html_extract, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_normalise, op2_decontamination, op3_license_scan, op4_language_id, op5_simhash_near_dedup, op6_exact_dedup, op7_packing, op8_html_extract, op9_pii, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
