@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -86,17 +87,38 @@ def logfmt_labels(line: Column) -> Column:
     return F.map_from_entries(first)
 
 
-def capture_labels(line: Column, pattern: str) -> Column:
-    """Named captures of a pattern; no match, no labels."""
+def logfmt_value(line: Column, name: str) -> Column:
+    """The last value of one key of a logfmt line, null if it is missing."""
+    spelt = "".join('[^a-zA-Z0-9\\s="]' if c == "_" else c for c in name)
+    found = F.regexp_extract_all(line, F.lit(f'(?:^|[^\\S\\n]|\\n)({spelt})=("(?:[^"\\\\]|\\\\.)*"|[^\\s"]*)'), F.lit(2))
+    last = F.try_element_at(found, F.lit(-1))
+    return F.when(last.startswith('"'), F.regexp_replace(F.substring(last, F.lit(2), F.length(last) - 2), r"\\(.)", "$1")).otherwise(last)
+
+
+def json_values(line: Column, names: list[str]) -> dict[str, Column]:
+    """Flattened values of some labels of a JSON object.
+
+    A name without an underscore is a key of the object itself and is read
+    inside the JVM; others may be nested and take the flattened map.
+    """
+    nested = json_labels(line) if any("_" in n for n in names) else None
+    return {n: nested[n] if "_" in n else F.get_json_object(line, f"$['{n}']") for n in names}
+
+
+def capture_numbers(pattern: str) -> tuple[str, dict[str, int]]:
+    """A pattern with plain groups, and the number of each named one."""
     java = L.java_regex(pattern)
-    names = re.findall(r"\(\?<([a-zA-Z_]\w*)>", java)
-    if not names:
-        raise ValueError("the pattern has no named capture")
-    # groups by their number; every "(" that opens a capturing group counts
     opens = [m.start() for m in re.finditer(r"(?<!\\)\((?!\?)|(?<!\\)\(\?<[a-zA-Z_]\w*>", java)]
     number = {m.group(1): opens.index(m.start()) + 1 for m in re.finditer(r"\(\?<([a-zA-Z_]\w*)>", java)}
-    java = re.sub(r"\(\?<([a-zA-Z_]\w*)>", "(", java)
-    found = F.create_map(*[x for n in dict.fromkeys(names) for x in (F.lit(n), F.regexp_extract(line, java, number[n]))])
+    return re.sub(r"\(\?<([a-zA-Z_]\w*)>", "(", java), number
+
+
+def capture_labels(line: Column, pattern: str) -> Column:
+    """Named captures of a pattern; no match, no labels."""
+    java, number = capture_numbers(pattern)
+    if not number:
+        raise ValueError("the pattern has no named capture")
+    found = F.create_map(*[x for n, i in number.items() for x in (F.lit(n), F.regexp_extract(line, java, i))])
     return F.when(line.rlike(java), found)
 
 
@@ -120,24 +142,24 @@ def pattern_match_regex(pattern: str) -> str:
     return ".*".join(re.escape(p) for p in re.split(r"<[a-zA-Z_]\w*>", pattern))
 
 
-def template(text: str, labels: Column, line: Column) -> Column:
+def template(text: str, label: Callable[[str], Column], line: Column) -> Column:
     """A Go text template over the labels: fields, literals and the functions below, with pipes."""
     out, at = [], 0
     for m in re.finditer(r"\{\{-?\s*(.*?)\s*-?\}\}", text):
         if m.start() > at:
             out.append(F.lit(text[at : m.start()]))
-        out.append(_pipeline(m[1], labels, line))
+        out.append(_pipeline(m[1], label, line))
         at = m.end()
     if at < len(text):
         out.append(F.lit(text[at:]))
     return F.concat(*out) if out else F.lit("")
 
 
-def _pipeline(expr: str, labels: Column, line: Column) -> Column:
+def _pipeline(expr: str, label: Callable[[str], Column], line: Column) -> Column:
     held: Column | None = None
     for part in re.split(r"\|(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", expr):
         words = re.findall(r'"((?:[^"\\]|\\.)*)"|`([^`]*)`|(\S+)', part)
-        args = [F.lit(a.replace('\\"', '"') or b) if not c else _operand(c, labels, line) for a, b, c in words]
+        args = [F.lit(a.replace('\\"', '"') or b) if not c else _operand(c, label, line) for a, b, c in words]
         name = words[0][2] if words else ""
         if name in _FUNCTIONS:
             held = _FUNCTIONS[name](*args[1:], *([held] if held is not None else []))
@@ -146,11 +168,11 @@ def _pipeline(expr: str, labels: Column, line: Column) -> Column:
     return held.cast("string")
 
 
-def _operand(word: str, labels: Column, line: Column) -> Column:
+def _operand(word: str, label: Callable[[str], Column], line: Column) -> Column:
     if word == "__line__":
         return line
     if word.startswith("."):
-        return L.value(labels, word[1:])
+        return label(word[1:])
     if re.fullmatch(r"-?\d+", word):
         return F.lit(int(word))
     return F.lit(word)

@@ -31,6 +31,15 @@ class Grid:
         return spark.range(self.last + 1).select(F.col("id").cast("int").alias("k"))
 
 
+def floor_div(x: Column, by: int) -> Column:
+    """The whole number below x / by, exact for all 64-bit numbers that it is used for."""
+    return F.round((x - F.pmod(x, F.lit(by))) / F.lit(by)).cast("bigint")
+
+
+def ceil_div(x: Column, by: int) -> Column:
+    return floor_div(x + (by - 1), by)
+
+
 def fan_out(points: DataFrame, grid: Grid, window: int, t: str = "t") -> DataFrame:
     """Each point once for each k whose window (T_k - window, T_k] holds it.
 
@@ -38,8 +47,8 @@ def fan_out(points: DataFrame, grid: Grid, window: int, t: str = "t") -> DataFra
     join of points with times.
     """
     at = F.col(t)
-    low = F.greatest(F.lit(0), F.ceil((at - grid.start) / F.lit(grid.step))).cast("int")
-    high = F.least(F.lit(grid.last), F.floor((at + (window - 1 - grid.start)) / F.lit(grid.step))).cast("int")
+    low = F.greatest(F.lit(0).cast("bigint"), ceil_div(at - grid.start, grid.step)).cast("int")
+    high = F.least(F.lit(grid.last).cast("bigint"), floor_div(at + (window - 1 - grid.start), grid.step)).cast("int")
     inside = points.where((at > grid.start - window) & (at <= grid.start + grid.last * grid.step))
     if window <= grid.step:  # at most one window holds a point
         return inside.withColumn("k", low).where(F.col("k") <= high)
@@ -50,11 +59,11 @@ def buckets(points: DataFrame, grid: Grid, window: int, t: str = "t") -> DataFra
     """Each point with the step b that ends at or after it, where windows are
     whole numbers of steps; else None. A bucket is in the windows of
     k = b .. b + window/step - 1."""
-    if window % grid.step or window // grid.step < 2:
+    if grid.last == 0 or window % grid.step or window // grid.step < 2:
         return None
     at = F.col(t)
     inside = points.where((at > grid.start - window) & (at <= grid.start + grid.last * grid.step))
-    return inside.withColumn("b", F.ceil((at - grid.start) / F.lit(grid.step)).cast("int"))
+    return inside.withColumn("b", ceil_div(at - grid.start, grid.step).cast("int"))
 
 
 def fan_out_buckets(partials: DataFrame, grid: Grid, window: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,11 @@ def lookup(name: str) -> Column:
     return F.coalesce(F.nullif(L.aliased(F.col("labels"), name), F.lit("")), F.nullif(L.aliased(F.col("fields"), name), F.lit("")), F.lit(""))
 
 
+def running(name: str) -> Column:
+    """What a template's .name stands for: the running label of that very name, else the field."""
+    return F.coalesce(F.col("labels")[name], F.col("fields")[name], F.lit(""))
+
+
 def line_predicate(f: ast.LineFilter) -> Column:
     line = F.col("line")
     if f.op in ("|=", "!="):
@@ -36,8 +44,8 @@ def line_predicate(f: ast.LineFilter) -> Column:
     return hit if f.op[0] == "|" else ~hit
 
 
-def term_predicate(name: str, op: str, kind: str, literal: object) -> Column:
-    text = lookup(name)
+def term_predicate(name: str, op: str, kind: str, literal: object, look: Callable[[str], Column] = lookup) -> Column:
+    text = look(name)
     if kind == "text":
         return {"=": text == literal, "==": text == literal, "!=": text != literal}.get(op) if op in ("=", "==", "!=") else L.matches(text, op, literal) if L.matches(text, op, literal) is not None else F.lit(True)
     number, spelt = literal
@@ -52,10 +60,10 @@ def term_predicate(name: str, op: str, kind: str, literal: object) -> Column:
     return F.coalesce(hit & ~F.isnan(read), F.lit(False))
 
 
-def filter_predicate(f: ast.LabelFilter) -> Column:
-    out = term_predicate(*f.terms[0])
+def filter_predicate(f: ast.LabelFilter, look: Callable[[str], Column] = lookup) -> Column:
+    out = term_predicate(*f.terms[0], look)
     for connector, term in zip(f.connectors, f.terms[1:]):
-        out = out | term_predicate(*term) if connector == "or" else out & term_predicate(*term)
+        out = out | term_predicate(*term, look) if connector == "or" else out & term_predicate(*term, look)
     return out
 
 
@@ -90,10 +98,10 @@ def stage(rows: DataFrame, s: object) -> DataFrame:
         parsed = parsers.capture_labels(line, regex)
         return rows.withColumn("parsed", parsed).withColumn("labels", F.when(F.col("parsed").isNull(), labels).otherwise(L.merge(labels, F.col("parsed")))).drop("parsed")
     if s.name == "line_format":
-        return rows.withColumn("line", parsers.template(s.args[0], L.merge(F.col("fields"), labels), line))
+        return rows.withColumn("line", parsers.template(s.args[0], running, line))
     if s.name == "label_format":
         for name, how, text in s.args:
-            new = parsers.template(text, L.merge(F.col("fields"), labels), line) if how == "template" else lookup(text)
+            new = parsers.template(text, running, line) if how == "template" else lookup(text)
             rows = rows.withColumn("labels", L.put(labels, name, new))
         return rows
     if s.name in ("drop", "keep"):
@@ -110,6 +118,102 @@ def stage(rows: DataFrame, s: object) -> DataFrame:
     raise QueryError(f"unknown stage {s.name}")
 
 
+def synonyms(name: str) -> tuple[str, ...]:
+    return L.LEVELS if name in L.LEVELS else L.SERVICES if name in L.SERVICES else (name,)
+
+
+def needed(stages: list, names: Sequence[str]) -> list[str]:
+    """The labels that the stages and a grouping by names look at."""
+    out = list(names)
+    for s in stages:
+        if isinstance(s, ast.LabelFilter):
+            out += [t[0] for t in s.terms]
+        elif isinstance(s, ast.Stage):
+            if s.name == "unwrap":
+                out.append(s.args[0])
+            elif s.name == "line_format":
+                out += re.findall(r"\.([a-zA-Z_]\w*)", s.args[0])
+            elif s.name == "label_format":
+                out += [n for to, how, text in s.args for n in (to, *([text] if how == "copy" else re.findall(r"\.([a-zA-Z_]\w*)", text)))]
+    return list(dict.fromkeys(a for n in out for a in synonyms(n)))
+
+
+def pushed_grouping(e: ast.VectorAggregate) -> ast.RangeAggregate | None:
+    """sum by (l) of a count or sum of all rows is the count or sum by l: no grouping by whole label sets is needed."""
+    r = e.expr
+    if e.op != "sum" or e.without or not isinstance(r, ast.RangeAggregate) or r.names is not None or r.op not in ("count_over_time", "rate", "bytes_over_time", "bytes_rate", "sum_over_time"):
+        return None
+    return ast.RangeAggregate(r.op, r.logs, r.range_ns, r.offset_ns, r.param, list(e.names or []), False)
+
+
+class Lean:
+    """A pipeline over rows that keeps each needed label in a column of its own.
+
+    No label map is built; a parser reads only what is asked for.
+    """
+
+    def __init__(self, rows: DataFrame, stages: list, names: Sequence[str]) -> None:
+        self.names = needed(stages, names)
+        self.rows = rows.select("t", "line", F.lit(None).cast("double").alias("unwrap"), *[F.col("labels")[n].alias(self.at(n)) for n in self.names], *[F.col("fields")[n].alias(self.at(n) + "f") for n in self.names])
+        for s in stages:
+            self.stage(s)
+
+    def at(self, name: str) -> str:
+        return f"l{self.names.index(name)}"
+
+    def look(self, name: str) -> Column:
+        order = [name, *[n for n in synonyms(name) if n != name]]
+        return F.coalesce(*[F.nullif(F.col(self.at(n) + side), F.lit("")) for side in ("", "f") for n in order], F.lit(""))
+
+    def label(self, name: str) -> Column:
+        order = [name, *[n for n in synonyms(name) if n != name]]
+        return F.coalesce(*[F.nullif(F.col(self.at(n)), F.lit("")) for n in order], F.lit(""))
+
+    def exact(self, name: str) -> Column:
+        return F.coalesce(self.at(name), self.at(name) + "f", F.lit(""))
+
+    def put(self, found: dict[str, Column]) -> None:
+        kept = {n: c for n, c in found.items() if n in self.names}
+        self.rows = self.rows.withColumns({self.at(n): F.coalesce(c, F.col(self.at(n))) for n, c in kept.items()})
+
+    def fail(self, when: Column, error: str) -> None:
+        if "__error__" in self.names:
+            at = self.at("__error__")
+            self.rows = self.rows.withColumn(at, F.when(when & F.col(at).isNull(), error).otherwise(F.col(at)))
+
+    def stage(self, s: object) -> None:
+        line = F.col("line")
+        if isinstance(s, ast.LineFilter):
+            self.rows = self.rows.where(line_predicate(s))
+        elif isinstance(s, ast.LabelFilter):
+            self.rows = self.rows.where(filter_predicate(s, self.look))
+        elif s.name == "json":
+            if "__error__" in self.names:
+                self.fail(F.get_json_object(line, "$").isNull() if s.args else parsers.json_labels(line).isNull(), "JSONParserErr")
+            self.put({n: parsers.json_field(line, path) for n, path in s.args} if s.args else parsers.json_values(line, [n for n in self.names if not n.startswith("__")]))
+        elif s.name == "logfmt":
+            self.put({n: parsers.logfmt_value(line, n) for n in self.names})
+        elif s.name in ("regexp", "pattern"):
+            regex, number = parsers.capture_numbers(s.args[0] if s.name == "regexp" else parsers.pattern_regex(s.args[0]))
+            self.put({n: F.when(line.rlike(regex), F.regexp_extract(line, regex, i)) for n, i in number.items()})
+        elif s.name == "line_format":
+            self.rows = self.rows.withColumn("line", parsers.template(s.args[0], self.exact, line))
+        elif s.name == "label_format":
+            for name, how, text in s.args:
+                self.rows = self.rows.withColumn(self.at(name), parsers.template(text, self.exact, line) if how == "template" else self.look(text))
+        elif s.name in ("drop", "keep"):
+            gone = [n for n in self.names if (n in s.args) == (s.name == "drop") and n != "__error__"]
+            self.rows = self.rows.withColumns({self.at(n) + side: F.lit(None).cast("string") for n in gone for side in ("", "f")})
+        elif s.name == "decolorize":
+            self.rows = self.rows.withColumn("line", F.regexp_replace(line, _ANSI, ""))
+        elif s.name == "unwrap":
+            name, how = s.args
+            text = self.look(name)
+            read = units.number(text) if how == "number" else units.size(text) if how == "bytes" else units.seconds(text)
+            self.rows = self.rows.withColumn("unwrap", read).withColumn("unwrap", F.when(~F.isnan("unwrap"), F.col("unwrap")))
+            self.fail(F.col("unwrap").isNull(), "SampleExtractionErr")
+
+
 def pipeline(rows: DataFrame, stages: list) -> DataFrame:
     for s in stages:
         rows = stage(rows, s)
@@ -129,9 +233,11 @@ class Compiler:
 
     def rows(self, q: ast.LogQuery, start_ns: int, end_ns: int) -> DataFrame:
         """Rows after the pipeline, with start_ns < t <= end_ns."""
+        return pipeline(self.raw(q, start_ns, end_ns), q.stages)
+
+    def raw(self, q: ast.LogQuery, start_ns: int, end_ns: int) -> DataFrame:
         df = self.store.select(q.matchers, start_ns, end_ns)
-        df = df.select(F.col("ts_ns").alias("t"), F.col("observed_ns").alias("observed"), "line", F.col("stream").alias("labels"), "fields", F.lit(None).cast("double").alias("unwrap"))
-        return pipeline(df, q.stages)
+        return df.select(F.col("ts_ns").alias("t"), F.col("observed_ns").alias("observed"), "line", F.col("stream").alias("labels"), "fields", F.lit(None).cast("double").alias("unwrap"))
 
     def logs(self, q: ast.LogQuery, limit: int | None = 100, forward: bool = False) -> DataFrame:
         """Rows (labels, ts_ns, line) in time order, at most `limit`."""
@@ -172,6 +278,8 @@ class Compiler:
             case ast.RangeAggregate():
                 return self.range_aggregate(e)
             case ast.VectorAggregate():
+                if (pushed := pushed_grouping(e)) is not None:
+                    return self.range_aggregate(pushed)
                 return VO.aggregate(self.frame(e.expr), e.op, e.names, e.without, e.param)
             case ast.LabelCall():
                 inner = self.frame(e.expr)
@@ -188,11 +296,16 @@ class Compiler:
 
     def range_aggregate(self, e: ast.RangeAggregate) -> DataFrame:
         at, span = self.grid.shifted(-e.offset_ns), e.range_ns
-        rows = self.rows(e.logs, at.start - span, at.start + at.last * at.step)
+        first, last = at.start - span, at.start + at.last * at.step
         if e.op == "absent_over_time":
+            rows = Lean(self.raw(e.logs, first, last), e.logs.stages, []).rows
             present = W.over_time(rows.select("t", lit(1.0).alias("v")), [], at, span, "present")
             missing = self.grid.frame(self.spark).join(present, "k", "left_anti")
             return missing.select(L.empty().alias("labels"), self.ms(F.col("k")).alias("ts"), lit(1.0).alias("v"))
+        grouped = e.names is not None and not e.without
+        names = sorted(set(e.names)) if grouped else []
+        lean = Lean(self.raw(e.logs, first, last), e.logs.stages, names) if grouped else None
+        rows = lean.rows if grouped else self.rows(e.logs, first, last)
         if e.op in ("count_over_time", "rate"):
             function, value = "count", lit(1.0)
         elif e.op in ("bytes_over_time", "bytes_rate"):
@@ -200,13 +313,12 @@ class Compiler:
         else:
             function, value = _SIMPLE.get(e.op, ""), F.col("unwrap")
             rows = rows.where("unwrap is not null")
-        shown = L.shown(F.col("labels"))
-        if e.names is not None and not e.without:
-            names = sorted(set(e.names))
+        if grouped:
             keys = [f"g{i}" for i in range(len(names))]
-            points = rows.select("t", value.alias("v"), *[F.nullif(lookup_label(n), F.lit("")).alias(k) for n, k in zip(names, keys)])
+            points = rows.select("t", value.alias("v"), *[F.nullif(lean.label(n), F.lit("")).alias(k) for n, k in zip(names, keys)])
             labels = L.build([(n, F.col(k)) for n, k in zip(names, keys)])
         else:
+            shown = L.shown(F.col("labels"))
             kept = L.without(shown, e.names) if e.without else shown
             keys, points = ["key"], rows.select("t", value.alias("v"), L.key(kept).alias("key"))
             labels = L.from_key(F.col("key"))
@@ -236,7 +348,3 @@ class Compiler:
                 return vector.withColumn("v", hit.cast("double"))
             return vector.where(hit).withColumn("v", a)  # the left operand's value
         return VO.binary(left, right, e.op, e.bool, m.on, m.names, m.group, m.include, first_match=True)
-
-
-def lookup_label(name: str) -> Column:
-    return L.aliased(F.col("labels"), name)
