@@ -1,6 +1,7 @@
 """Words and subwords of many texts at once, as numpy arrays.
 
-Texts are lower-cased and laid end to end as UTF-8 with a line feed after each;
+Texts are lower-cased and laid end to end as UTF-8 with a line feed before the
+first and after each;
 a word is a run of ASCII letters and digits or bytes of other characters.
 Polynomial hashes modulo 2^64 come from prefix sums, so nothing is done word by
 word in Python.
@@ -38,7 +39,7 @@ def chunked(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         size += len(raw)
         if size >= most or i == len(texts) - 1:
             lengths = np.fromiter((len(x) + 1 for x in held), dtype=np.int64, count=len(held))
-            yield first, i + 1, np.frombuffer(b"\n".join(held) + b"\n", dtype=np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+            yield first, i + 1, np.frombuffer(b"\n" + b"\n".join(held) + b"\n", dtype=np.uint8), np.concatenate([[0], np.cumsum(lengths)]) + 1
             held, size, first = [], 0, i + 1
 
 
@@ -68,8 +69,10 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def grams(buf: np.ndarray, n: int, inner: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hash buckets of the n-grams of bytes of which all but the
-    first and last are letters; what is no letter counts as a space."""
+    """Positions of the second byte, and hash buckets, of the n-grams of bytes of
+    which all but the first and last are letters; what is no letter counts as a space.
+
+    The second byte is inside a word, so it tells whose text the n-gram is."""
     ok = inner[buf]
     plain = np.where(ok, buf, np.uint8(32))
     valid = np.ones(max(0, len(buf) - n + 1), dtype=bool)
@@ -81,4 +84,4 @@ def grams(buf: np.ndarray, n: int, inner: np.ndarray, bits: int) -> tuple[np.nda
     at = np.flatnonzero(valid)
     h = h[at] + np.uint32(n * 0x9E37)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    return at, ((h ^ (h >> np.uint32(13))) & np.uint32((1 << bits) - 1)).astype(np.int32)
+    return at + 1, ((h ^ (h >> np.uint32(13))) & np.uint32((1 << bits) - 1)).astype(np.int32)

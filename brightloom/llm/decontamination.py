@@ -23,6 +23,7 @@ empty tables give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -106,6 +107,7 @@ class Matcher:
             (item_id, item), k = self.items[at], self.budget[at]
             ordered = sorted(starts)
             first = last = ordered[0]
+            near: set[tuple[int, int, int]] = set()
             for d in [*ordered[1:], None]:
                 if d is not None and d - last <= k:
                     last = d
@@ -113,8 +115,15 @@ class Matcher:
                 a = max(0, first - k)
                 distance, start, end = best_match(item, text[a : max(0, last) + len(item) + k])
                 if distance <= k:
-                    found.add((item_id, distance, a + start, a + end))
+                    near.add((distance, a + start, a + end))
                 first = last = d
+            # windows of neighbouring diagonals may show parts of one occurrence: of spans that overlap, the closest
+            taken: list[tuple[int, int]] = []  # disjoint, in order
+            for distance, start, end in sorted(near):
+                n = bisect(taken, (start, end))
+                if (n == 0 or taken[n - 1][1] <= start) and (n == len(taken) or end <= taken[n][0]):
+                    taken.insert(n, (start, end))
+                    found.add((item_id, distance, start, end))
         return sorted(found, key=lambda h: (h[0] is None, h[0] or 0, h[2], h[3]))
 
 
