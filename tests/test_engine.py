@@ -32,7 +32,7 @@ def metric_store(spark, series):
 
 
 def values(df, *names):
-    return sorted((tuple(r["labels"].get(n) for n in names) + (r["ts"], round(r["v"], 9)) for r in df.collect()), key=repr)
+    return sorted((tuple(r["labels"].get(n) for n in names) + (r["ts"], round(r["v"], 9)) for r in df.collect()), key=lambda row: [(x is not None, x) for x in row])
 
 
 @pytest.mark.parametrize(

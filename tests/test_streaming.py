@@ -5,7 +5,7 @@ from brightloom.streaming import rollups
 
 
 def rows(spark, path):
-    data = [(1, 7, t * 1_000_000_000, t, f"line {t % 5}", {}, {"app": "x"}, {}) for t in range(0, 600, 7)]
+    data = [(1, 7, t * 1_000_000_000, t, f"line {t % 5}", {}, {"app": "x"}, {}) for t in range(6000, 6600, 7)]
     df = spark.createDataFrame(data, "team_id long, stream_id long, ts_ns long, observed_ns long, line string, fields map<string,string>, labels map<string,string>, resource_attributes map<string,string>")
     df.unionByName(df.limit(10)).repartition(3).write.parquet(path)
     return df
