@@ -75,7 +75,7 @@ def _extrapolated(window: int, counter: bool, rate: bool) -> str:
     return _pairs(
         f""", c AS (SELECT *, {change} AS change, (t1 - t0) / 1000.0 AS span, (t1 - t0) / 1000.0 / (n - 1) AS gap, (t0 - (ts - {window})) / 1000.0 AS a0, (ts - t1) / 1000.0 AS z0 FROM f WHERE n >= 2 AND t1 > t0),
         e AS (SELECT *, CASE WHEN a0 >= gap * 1.1 THEN gap / 2 ELSE a0 END AS a, CASE WHEN z0 >= gap * 1.1 THEN gap / 2 ELSE z0 END AS z FROM c)
-        SELECT event_type, user_id, ts, round(change * ((span + {zero} + z) / span) / {window / 1000 if rate else 1}, 6) AS value FROM e""",
+        SELECT event_type, user_id, ts, round(change * ((span + {zero} + z) / span) / {window / 1000 if rate else 1} * {3600 if rate else 1}, 6) AS value FROM e""",
         window,
     )
 
@@ -108,7 +108,7 @@ _prom("promql_count_over_time", "count_over_time(event_value[6h]) + present_over
 _prom("promql_last_over_time", "last_over_time(event_value[6h])", BOTH, _over("arg_max(v, t)", "event_type, user_id", W6))
 _prom("promql_stddev_over_time", "stddev_over_time(event_value[6h]) + stdvar_over_time(event_value[6h])", BOTH, _over("stddev_pop(v) + var_pop(v)", "event_type, user_id", W6))
 _prom("promql_quantile_over_time", "quantile_over_time(0.75, event_value[6h])", BOTH, _over("quantile_cont(v, 0.75)", "event_type, user_id", W6))
-_prom("promql_rate", "rate(event_value[1d])", BOTH, _extrapolated(DAY, True, True))
+_prom("promql_rate", "rate(event_value[1d]) * 3600", BOTH, _extrapolated(DAY, True, True))  # an hour's, as six decimals of a second's say little
 _prom("promql_increase", "increase(event_value[1d])", BOTH, _extrapolated(DAY, True, False))
 _prom("promql_delta", "delta(event_value[1d])", BOTH, _extrapolated(DAY, False, False))
 _prom("promql_irate", "irate(event_value[1d])", BOTH, _pairs(f"SELECT event_type, user_id, ts, round(CASE WHEN v1 < pv THEN v1 ELSE v1 - pv END / ((t1 - pt) / 1000.0), 6) AS value FROM f WHERE pt > ts - {DAY}", DAY))
