@@ -7,15 +7,22 @@ so the difference of the two lengths is what the window alone costs more in
 ordinary text than in toxic text, and a frame's overhead cancels out. Windows
 repeat, so lengths are kept in a table of each worker.
 
-The toxic dictionary is trained on the stretches of labelled toxic documents
-whose 5-byte strings are over-represented against ordinary ones by a z-score of
-`Z_LEAST` and a factor of `RATIO_LEAST`; each string is counted once for each
-different context, so copies of a document count once. The ordinary dictionary
-is trained on labelled ordinary documents. Both serve as raw content.
-
-A window that is shorter by d bytes with the toxic dictionary weighs WEIGHT[d];
-a document's score is the weight of its windows divided by the square root of
-their number. The threshold is the one that on a held-out fifth of the labelled
+The toxic dictionary is the ordinary one, then toxic stems, then parts of these;
+the ordinary one has zeros in the stems' place, and ordinary text is kept without the
+stems and their last three characters. So a window costs more in ordinary
+text only if it holds a whole stem, and a byte saved is no noise. A stem is the
+beginning of a word, of `STEM_LEAST` to `STEM_MOST` characters, or a whole word,
+that is over-represented in labelled toxic documents against ordinary ones of the
+same language (column lang where docs has one; null is a language; without ordinary
+labels of its own a language is measured against all) by a z-score of `Z_LEAST` and
+a factor of `RATIO_LEAST`. A word is counted once for each different next word, so
+copies of a document count once. Stems are taken strongest first, up to
+`TOXIC_BYTES`, each without the words that stronger ones explain. The ordinary
+dictionary is trained on labelled ordinary documents. Both serve as raw content.
+
+A saving weighs the logarithm of how much more often words of toxic training
+documents save as much, up to `WEIGHT_MOST`; a document's score is the weight of its
+windows divided by the square root of their number. The threshold is the one that on a held-out fifth of the labelled
 sample maximises the share of toxic documents caught less `FALSE_COST` times the
 share of ordinary ones caught.
 
@@ -33,6 +40,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,23 +50,24 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brightloom.llm.bytehash import mix
-
 TRAIN_ROWS = 2500
-K = 5
-KMER_BITS = 22
-CONTEXT = 8
+STEM_LEAST = 3
+STEM_MOST = 12
 Z_LEAST = 12.0
 RATIO_LEAST = 8.0
 TOXIC_BYTES = 4096
 ORDINARY_BYTES = 65536
 FALSE_COST = 10.0
-#: By saved bytes: a byte or two is noise, six leave no doubt.
-WEIGHT = np.array([0, 0, 0, 1 / 3, 1, 2, 3])
+#: Savings from here on weigh the same.
+MOST_SAVED = 8
+#: No saving counts for more than this logarithm of a ratio.
+WEIGHT_MOST = 5.0
 KEPT_WINDOWS = 2_000_000
 CARRIER = b"0123456789 abcdefghijklmnopqrstuvwxyz 9876543210 zyxwvutsrqponmlkjihgfedcba "
 #: Between a dictionary and the carrier, so that no window goes on into the carrier there.
 APART = b"\x00\x01\x02\x03"
+#: zstandard never matches the first byte of a frame.
+FIRST = b"\x05"
 JUDGED = "windows int, hits int, score double, toxic boolean"
 
 _NO_WORD = re.compile(r"\W+")
@@ -68,44 +77,68 @@ def plain(text: str) -> bytes:
     return (" " + _NO_WORD.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace")
 
 
-def kmers(raw: bytes) -> np.ndarray:
-    a = np.frombuffer(raw, dtype=np.uint8)
-    h = np.zeros(max(0, len(a) - K + 1), dtype=np.uint32)
-    for k in range(K):
-        h = h * np.uint32(0x01000193) + a[k : k + len(h)]
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    return (h ^ (h >> np.uint32(13))) & np.uint32((1 << KMER_BITS) - 1)
-
-
-def counts(docs: list[bytes]) -> np.ndarray:
-    """How many different contexts (the 5 bytes that begin 8 bytes before) each 5-byte string has."""
-    seen = np.zeros(0, dtype=np.uint64)
-    held, size = [], 0
-    for i, raw in enumerate(docs):
-        h = kmers(raw).astype(np.uint64)
-        held.append(mix(h[:-CONTEXT]) << np.uint64(KMER_BITS) | h[CONTEXT:])
-        size += len(h)
-        if size > 1 << 22 or i == len(docs) - 1:
-            seen = np.unique(np.concatenate([seen, *held]))
-            held, size = [], 0
-    return np.bincount((seen & np.uint64((1 << KMER_BITS) - 1)).astype(np.int64), minlength=1 << KMER_BITS)
-
-
-def stretches(docs: list[bytes], own: np.ndarray, other: np.ndarray, scale: float) -> list[bytes]:
-    """The different stretches of docs that over-represented strings cover."""
-    expected = other * scale
-    marked = (own - expected >= Z_LEAST * np.sqrt(expected + 1)) & (own >= RATIO_LEAST * (expected + 0.5))
-    out: dict[bytes, None] = {}
+def beginnings(word: str) -> list[str]:
+    """Stems of a word, shortest first; a space stands for an edge of the word."""
+    return [" " + word[:n] for n in range(STEM_LEAST, min(len(word), STEM_MOST) + 1)] + [f" {word} "]
+
+
+def counts(docs: list[bytes]) -> tuple[Counter[str], int]:
+    """How many different words follow each word, and the number of words."""
+    pairs: set[tuple[str, str]] = set()
+    words = 0
     for raw in docs:
-        at = np.flatnonzero(marked[kmers(raw)])
-        if len(at):
-            step = np.zeros(len(raw) + 1, dtype=np.int32)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + K, -1)
-            covered = np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]])
-            edge = np.flatnonzero(np.diff(covered))
-            out |= dict.fromkeys(raw[a:b] for a, b in zip(edge[::2], edge[1::2]))
-    return list(out)
+        found = raw.decode("utf-8", "replace").split()
+        words += len(found)
+        pairs.update(zip(found, [*found[1:], ""]))
+    return Counter(word for word, _ in pairs), words
+
+
+def stems(toxic: dict[str | None, list[bytes]], ordinary: dict[str | None, list[bytes]]) -> list[tuple[str, str]]:
+    """Over-represented stems, weakest first, each with its longest beginning that is not; documents by language."""
+    own, expected = Counter[str](), Counter[str]()
+    for lang, docs in toxic.items():
+        there, size = counts(docs)
+        other, other_size = counts(ordinary.get(lang) or [raw for o in ordinary.values() for raw in o])
+        own.update(there)
+        for word, n in other.items():
+            expected[word] += n * size / max(1, other_size)
+    words: dict[str, list[str]] = {}
+    seen, foreseen = Counter[str](), Counter[str]()
+    for word in own | expected:
+        for stem in beginnings(word):
+            words.setdefault(stem, []).append(word)
+            seen[stem] += own[word]
+            foreseen[stem] += expected[word]
+
+    def z(stem: str) -> float:
+        n, e = seen[stem], foreseen[stem]
+        return (n - e) / (e + 1) ** 0.5 if n >= RATIO_LEAST * (e + 0.5) else 0.0
+
+    rest = {stem for stem in seen if z(stem) >= Z_LEAST}
+    found: list[tuple[str, str]] = []
+    size = 0
+    while rest:
+        stem = max(rest, key=lambda s: (z(s), len(s), s))
+        size += len(stem.encode("utf-8", "replace")) + 1
+        if z(stem) < Z_LEAST or size > TOXIC_BYTES:
+            break
+        n = seen[stem]
+        # what this stem explains speaks for no other
+        for word in words[stem]:
+            for s in beginnings(word):
+                seen[s] -= own[word]
+                foreseen[s] -= expected[word]
+            own[word] = 0
+            expected[word] = 0
+        rest.discard(stem)
+        shorter = [stem[: n + 1] for n in range(STEM_LEAST, len(stem) - 1)]
+        found.append((stem, next((s for s in reversed(shorter) if foreseen[s] * RATIO_LEAST**2 >= n), stem[:STEM_LEAST])))
+    return found[::-1]
+
+
+def begun(stem: str, short: str) -> bytes:
+    """short with the bytes that the stem's next character shares with others."""
+    return short.encode("utf-8", "replace") + stem[len(short) : len(short) + 1].encode("utf-8", "replace")[:-1]
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -121,6 +154,7 @@ class Model:
     toxic: bytes = b""
     ordinary: bytes = b""
     threshold: float = float("inf")
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(MOST_SAVED + 1))
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def lengths(self) -> "Lengths":
@@ -137,7 +171,7 @@ class Lengths:
     @staticmethod
     def compressor(content: bytes) -> zstandard.ZstdCompressor:
         data = zstandard.ZstdCompressionDict(content + APART + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        how = zstandard.ZstdCompressionParameters.from_level(3, source_size=128, dict_size=len(content) + len(APART) + len(CARRIER), write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3, strategy=zstandard.STRATEGY_BTOPT, target_length=64)
+        how = zstandard.ZstdCompressionParameters.from_level(3, source_size=128, dict_size=len(content) + len(APART) + len(CARRIER), write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3, search_log=6, strategy=zstandard.STRATEGY_BTOPT, target_length=64)
         data.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=data, compression_params=how)
 
@@ -150,7 +184,7 @@ class Lengths:
         for word in plain(text).split():
             d = kept.get(word)
             if d is None:
-                window = b" " + word + b" " + CARRIER
+                window = FIRST + b" " + word + b" " + CARRIER
                 d = len(ordinary.compress(window)) - len(toxic.compress(window))
                 if len(kept) >= KEPT_WINDOWS:
                     kept.clear()
@@ -159,27 +193,49 @@ class Lengths:
         return np.array(out, dtype=np.int64)
 
 
-def score(differences: np.ndarray) -> float:
-    return float(WEIGHT[np.clip(differences, 0, len(WEIGHT) - 1)].sum() / max(1, len(differences)) ** 0.5)
+def score(differences: np.ndarray, weight: np.ndarray) -> float:
+    return float(weight[np.clip(differences, 0, len(weight) - 1)].sum() / max(1, len(differences)) ** 0.5)
 
 
-def fit(rows: list[tuple[int, str]], seed: int = 3) -> Model:
-    """A model from (toxic 0/1, text) rows."""
-    rows = sorted(rows)
+def fit(rows: list[tuple[int, str, str | None]], seed: int = 3) -> Model:
+    """A model from (toxic 0/1, text, language) rows."""
+    rows = sorted(rows, key=repr)
     rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
     held, train = rows[: len(rows) // 5], rows[len(rows) // 5 :]
-    toxic, ordinary = ([raw for t, x in train if bool(t) == kind and len(raw := plain(x)) > 2] for kind in (True, False))
-    if not toxic or not ordinary:
+    of: tuple[dict[str | None, list[bytes]], dict[str | None, list[bytes]]] = {}, {}
+    for t, x, lang in train:
+        if len(raw := plain(x)) > 2:
+            of[bool(t)].setdefault(lang, []).append(raw)
+    if not of[0] or not of[1]:
         return Model()
-    own, other = counts(toxic), counts(ordinary)
-    found = stretches(toxic, own, other, sum(map(len, toxic)) / sum(map(len, ordinary)))
+    found = stems(of[1], of[0])
     if not found:
         return Model()
-    model = Model(dictionary(found, TOXIC_BYTES), dictionary([raw[i : i + 40] for raw in ordinary for i in range(0, len(raw), 40)], ORDINARY_BYTES))
-    calibrate(model, held or train)
+    ordinary = dictionary([raw[i : i + 40] for docs in of[0].values() for raw in docs for i in range(0, len(raw), 40)], ORDINARY_BYTES)
+    # no match may go on from within a stem to what follows it, else it costs no more without the stem
+    for stem, _ in found:
+        raw = (stem if stem.endswith(" ") else stem[-3:]).encode("utf-8", "replace")
+        ordinary = ordinary.replace(raw, b"\x00" * len(raw))
+    whole = "\x00".join(["", *(stem for stem, _ in found)]).encode("utf-8", "replace")
+    # parts of stems lie in both, nearer than the stems, so that only a whole stem saves
+    parts = b"\x00".join([b"", *(part for stem, short in found for part in (stem[2:].encode("utf-8", "replace"), begun(stem, short)))])
+    model = Model(ordinary + whole + parts, ordinary + b"\x00" * len(whole) + parts)
+    weigh(model, train)
+    calibrate(model, [(t, x) for t, x, _ in held or train])
     return model
 
 
+def weigh(model: Model, rows: list[tuple[int, str, str | None]]) -> None:
+    """Sets the weights: the logarithm of how much more often toxic documents save so many bytes."""
+    lengths = model.lengths()
+    n = np.zeros((2, MOST_SAVED + 1))
+    for t, x, _ in rows:
+        n[int(bool(t))] += np.bincount(np.clip(lengths.differences(x), 0, MOST_SAVED), minlength=MOST_SAVED + 1)
+    ordinary, toxic = (n + [[1.0], [n[1].sum() / n[0].sum()]]) / n.sum(axis=1, keepdims=True)
+    # a word that saves more weighs no less
+    model.weight = np.maximum.accumulate(np.clip(np.log(toxic / ordinary), 0, WEIGHT_MOST) / WEIGHT_MOST * (np.arange(MOST_SAVED + 1) > 0))
+
+
 def calibrate(model: Model, held: list[tuple[int, str]]) -> None:
     """Sets the threshold from held-out rows."""
     lengths = model.lengths()
@@ -187,7 +243,7 @@ def calibrate(model: Model, held: list[tuple[int, str]]) -> None:
     found = [lengths.differences(x) for _, x in held]
     if not y.any() or y.all():
         return
-    s = np.array([score(d) for d in found])
+    s = np.array([score(d, model.weight) for d in found])
     levels = np.unique(s[s > 0])
     best = -np.inf
     # between two scores that occur, so that neither side is at the edge
@@ -205,8 +261,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     few = min(n.get(True, 0), train_rows // 2)
     rate = {True: few / max(1, n.get(True, 0)), False: min(1.0, (train_rows - few) / max(1, n.get(False, 0)))}
     sample = labels.where(u < F.when(F.col("toxic"), rate[True]).otherwise(rate[False]))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")  # train_rows bounds it
-    return fit([(int(r[0]), r[1]) for r in texts.select("toxic", "text").collect()])
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select("doc_id", "text", lang.alias("lang")).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id")  # train_rows bounds it
+    return fit([(int(r[0]), r[1], r[2]) for r in texts.select("toxic", "text", "lang").collect()])
 
 
 _LENGTHS: dict[str, Lengths] = {}
@@ -223,8 +280,8 @@ def judged(text: Column, model: Model) -> Column:
         lengths = _LENGTHS[model.key]
         for texts in batches:
             found = [lengths.differences(t) for t in texts]
-            s = np.array([score(d) for d in found])
-            windows, hits = np.array([len(d) for d in found], dtype=np.int32), np.array([(d > 2).sum() for d in found], dtype=np.int32)
+            s = np.array([score(d, model.weight) for d in found])
+            windows, hits = np.array([len(d) for d in found], dtype=np.int32), np.array([(model.weight[np.clip(d, 0, MOST_SAVED)] > 0).sum() for d in found], dtype=np.int32)
             yield pd.DataFrame({"windows": windows, "hits": hits, "score": s, "toxic": s >= model.threshold})
 
     return judge(text)

@@ -424,6 +424,18 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.classify(awkward, toxicity.train(awkward, labels.limit(0))).where("toxic").count() == 0
 
 
+def test_toxicity_in_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = toxicity.train(docs, labels.where(half), 900)
+    rows = toxicity.classify(docs, model).withColumnRenamed("toxic", "found").join(docs.select("doc_id", "lang"), "doc_id").join(labels.where(~half), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        caught = [r["found"] for r in rows if r["toxic"] and r["lang"] == lang]
+        false = [r["found"] for r in rows if not r["toxic"] and r["lang"] == lang]
+        assert sum(caught) / len(caught) > 0.7 and sum(false) / len(false) < 0.04, (lang, sum(caught), len(caught), sum(false), len(false))
+
+
 # queries and pipeline
 
 
