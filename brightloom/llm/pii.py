@@ -5,7 +5,7 @@ tokens of short digit runs and punctuation only are one candidate. A candidate
 is an instance (its characters) and has lexical patterns: its shape (runs of
 letters, long hexadecimal and upper-case codes, and digits with their number),
 the same with digit runs up to four alike, the shape with the word before it and
-with the two before it, and what stands before an = or : inside it. Seed
+with the two before it, these two words alone, and what stands before an = or : inside it. Seed
 recognisers name a type for the instances that they match (a share of them, to
 measure what bootstrapping finds); everything else is unlabelled.
 
@@ -59,6 +59,7 @@ _EDGE = " \t\n\r.,;:!?\"'`<>[]{}#*%$&|"
 _RUN = re.compile(r"[a-z]+|[A-Z]+|\d+|[^\W\d_a-zA-Z]+|\s+|[^\s]", re.ASCII)
 _SHORT_RUN = re.compile(r"9\{[1-4]\}")
 _HEX = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{12,}")
+_UPPER_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[0-9A-F]*[0-9])(?=[0-9A-F]*[A-F])[0-9A-F]{12,}(?![0-9A-Za-z])")
 _MIXED_UPPER = re.compile(r"(?=[A-Z0-9]*[0-9])(?=[A-Z0-9]*[A-Z])[A-Z0-9]{12,}")
 
 SEEDS = {
@@ -74,8 +75,8 @@ FOUND_DDL = "doc_id long, start int, end int, instance string, patterns array<st
 
 
 def shape(s: str) -> str:
-    """Runs of characters by kind: a lower, A upper, h long hex, X long upper with digits, 9{n} digits, u other letters."""
-    s = _MIXED_UPPER.sub("\x01", _HEX.sub("\x00", s))
+    """Runs of characters by kind: a lower, A upper, h long hex of either case, X long upper with digits, 9{n} digits, u other letters."""
+    s = _MIXED_UPPER.sub("\x01", _UPPER_HEX.sub("\x00", _HEX.sub("\x00", s)))
     out = []
     for m in _RUN.finditer(s):
         r = m.group()
@@ -119,8 +120,15 @@ def candidates(text: str | None) -> Iterator[tuple[int, int, str, list[str]]]:
                     if end != tokens[nxt - 1].end():
                         break
                 core = text[start:end]
+            # a bracket without its partner is not part of the instance
+            while core.endswith(")") and core.count(")") > core.count("("):
+                end -= 1
+                core = text[start:end]
+            while core.startswith("(") and core.count("(") > core.count(")"):
+                start += 1
+                core = text[start:end]
             kind = shape(core)
-            patterns = [f"s:{kind}", "c:" + _SHORT_RUN.sub("9", kind), f"1:{before[-1]} {kind}", f"2:{before[-2]} {before[-1]} {kind}"]
+            patterns = [f"s:{kind}", "c:" + _SHORT_RUN.sub("9", kind), f"1:{before[-1]} {kind}", f"2:{before[-2]} {before[-1]} {kind}", f"b:{before[-2]} {before[-1]}"]
             key = re.match(r"([^\W\d]+)\s*[=:]", core)
             if key:
                 patterns.append(f"k:{key.group(1).lower()}")

@@ -398,6 +398,12 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert numbers.count() == 0
 
 
+def test_secrets_of_unseen_format_are_found(spark):
+    codes = [f"{i:02d}" + "9f3b7c" * 6 + "ab" for i in range(20, 26)]
+    docs = frame(spark, [(i, f'the token = "{c}" here') for i, c in enumerate(codes)] + [(90, f'THE TOKEN = "{"77" + "9A3C7D" * 6 + "BE"}" HERE'), (91, 'the token = "Zq-81/44_kk!x9" of no known format')])
+    assert ids(pii.identifiers(docs), "doc_id", "type") == sorted([(i, "secret") for i in [*range(6), 90, 91]], key=repr)
+
+
 def test_identifiers_on_awkward_rows(spark, awkward, empty):
     mails = frame(spark, [(i, f"write to user.{i}@mail.example.com today") for i in range(20, 26)] + [(20, "write to user.20@mail.example.com today"), (None, "write to user.77@mail.example.com")])
     got = pii.identifiers(awkward.unionByName(mails))
