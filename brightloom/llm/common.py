@@ -3,9 +3,13 @@ joins whose broadcast side has been measured first."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is made and set.
+    Only where the session names none and runs on one machine, as in tests, a
+    temporary folder is made and set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -63,3 +67,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def place(uri: str) -> tuple[fs.FileSystem, str]:
+    """A file system and a path in it, for workers that read or write shared files by themselves."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """make(), called once in each Python worker process; the two newest are held.
+
+    Functions are shipped to workers by value, with globals of their own for
+    each task, so what is to outlast a task hangs on a module of the process.
+    """
+    held = sys.modules.setdefault("_corpus_kept", types.ModuleType("_corpus_kept")).__dict__.setdefault("held", {})
+    if key not in held:
+        while len(held) > 1:
+            held.pop(next(iter(held)))
+        held[key] = make()
+    return held[key]

@@ -154,8 +154,8 @@ def test_myers_against_brute_force():
     for _ in range(200):
         p, t = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, n))) for n in (90, 60))
         assert [s for s, _ in decontamination.myers(p, t)] == list(edit_distances(p, t))
-        d, a, b = decontamination.best_match(p, t)
-        assert d == min(edit_distances(p, t)) and min(itertools.chain(edit_distances(p, t[a:b]))) <= d
+        d, a, b = decontamination.matches(p, t, len(p) - 1)[0] if min(edit_distances(p, t)) < len(p) else (len(p), 0, 0)
+        assert d == min(edit_distances(p, t)) and min(itertools.chain([len(p)], edit_distances(p, t[a:b]))) <= d
 
 
 def test_no_occurrence_within_the_budget_is_missed():
@@ -176,6 +176,25 @@ def test_no_occurrence_within_the_budget_is_missed():
             assert (j in found) == (best <= int(len(n) * 0.1)) and found.get(j, best) == best
 
 
+def test_every_occurrence_is_reported_or_overlaps_a_closer_one():
+    rng = random.Random(3)
+    for _ in range(120):
+        item = "".join(rng.choice("ab") for _ in range(rng.randint(10, 14))) * 2
+        k = int(len(item) * 0.1)
+        page = decontamination.normalise("".join(rng.choice([item, item[: len(item) // 2], "ab", "ba c"]) for _ in range(12)))
+        found = [(d, a, b) for _, d, a, b in decontamination.Matcher([(1, item)], 0.1).search(page)]
+        assert all(x[2] <= y[1] for x, y in zip(sorted(found, key=lambda h: h[1]), sorted(found, key=lambda h: h[1])[1:]))
+        for end, score in enumerate(edit_distances(decontamination.normalise(item), page), 1):
+            assert score > k or any(d <= score and a < end and end - (len(item) - k) < b for d, a, b in found)
+
+
+def test_short_and_periodic_items():
+    found = lambda item, page: [h[1:] for h in decontamination.Matcher([(1, item)], 0.05).search(page)]
+    assert found("a" * 20, "a" * 60) == [(0, 0, 20), (0, 20, 40), (0, 40, 60)]
+    assert found("cat", "concatenate a cat, cats; Cat") == [(0, 14, 17), (0, 23, 26)] and found("x", "x") == [(0, 0, 1)]
+    assert len(found("ab" * 15, "ab" * 40_000)) == 80_000 // 30
+
+
 def test_decontamination(spark, awkward, empty):
     items = spark.createDataFrame([(7, "Same text, HERE"), (8, None), (9, ""), (None, "lorem ipsum dolor lorem")], "item_id long, text string")
     found = decontamination.contaminated(awkward, items)
