@@ -7,17 +7,21 @@ writes the new file and a sidecar index (offset, length, type, target, digest)
 by which any record can be read alone. Files that consist of several members
 already are taken in the same way.
 
-A file is one task; of it, a chunk and the record at hand are in memory. Both
-outputs are written under temporary names and renamed when complete, so a task
-that runs twice leaves one whole file.
+A file is one task; of it, a chunk, the record at hand (however long) and the
+last few index rows are in memory. Both outputs are written under temporary names
+and renamed when complete, so a task that runs twice leaves one whole file.
 
 Files are reached by URI through Arrow's file systems, so that the shared folder
 may be a cluster's.
 
-Defined results: a stream that ends within a record, or is no gzip or WARC,
-gives the whole records before that point and a last row with record_type null
-and the reason in `error`, and leaves no output; an empty file gives no records
-and an empty output. In crawl files made from pages, null or empty html is a
+Defined results: a stream that ends within a record, or goes on with what is no
+gzip or WARC (zeros, a negative or unreadable Content-Length, a head of over
+`MOST_HEAD` bytes), gives the whole records before that point, which are in the
+output and its sidecar, and a last row with output and record_type null and the
+reason in `error`; with no whole record there is no output. An empty file gives
+no records and an empty output. An X-Page-Id that is no whole number of 64 bits
+gives page_id null. Files are told apart by their path alone; further columns of
+the list of files or of pages, whatever their names, are ignored. In crawl files made from pages, null or empty html is a
 record with an empty body, a null url one without a target, a null page_id one
 in file 0 without an id header; repeated rows are records of their own; an empty
 table makes no files.
@@ -26,18 +30,24 @@ table makes no files.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brightloom.llm.common import place
+
 CHUNK = 1 << 18
 LEVEL = 6
+#: No record has a longer head.
+MOST_HEAD = 1 << 20
+INDEX_ROWS = 1024
 PAGES_PER_FILE = 2048
 INDEX = pa.schema(
     [(n, pa.string()) for n in ("path", "output")] + [("record", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("page_id", pa.int64()), ("body_bytes", pa.int64()), ("digest", pa.string()), ("error", pa.string())]
@@ -50,10 +60,6 @@ class BadFile(ValueError):
     pass
 
 
-def place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
-
-
 def inflate(source: pa.NativeFile) -> Iterator[bytes]:
     """The plain bytes of one or more gzip members, in chunks."""
     member = zlib.decompressobj(31)
@@ -95,6 +101,8 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         while at < 0:
             at = held.find(b"\r\n\r\n", max(0, seen - 3))
             seen = len(held)
+            if at < 0 and seen > MOST_HEAD:
+                raise BadFile("no WARC record where one should begin")
             if at < 0 and not fill(seen + 1):
                 if held.strip():
                     raise BadFile("the stream ends within a record's head")
@@ -103,47 +111,53 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         if not lines[0].startswith("WARC/"):
             raise BadFile("no WARC record where one should begin")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        try:
-            size = at + 4 + int(head["content-length"])
-        except (KeyError, ValueError):
-            raise BadFile("a record without Content-Length") from None
+        length = head.get("content-length", "")
+        if not (length.isascii() and length.isdigit() and len(length) < 19):
+            raise BadFile("a record without a valid Content-Length")
+        size = at + 4 + int(length)
         if not fill(size + 4):
             raise BadFile("the stream ends within a record")
         yield head, bytes(held[: size + 4])
         del held[: size + 4]
 
 
-def normalise_file(path: str, out_dir: str) -> list[dict]:
+def whole_number(text: str | None) -> int | None:
+    """A number of 64 bits, None for anything else."""
+    if text is None or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return n if -(1 << 63) <= (n := int(text)) < 1 << 63 else None
+
+
+def normalise_file(path: str, out_dir: str) -> Iterator[dict]:
     """Writes the file's records as members into out_dir, with the sidecar; rows of INDEX."""
     name = path.rsplit("/", 1)[-1]
-    output = f"{out_dir}/{name.removesuffix('.gz')}.members.gz"
+    output = f"{name.removesuffix('.gz')}.members.gz"
     source_fs, source_path = place(path)
-    target_fs, target_path = place(output)
+    target_fs, target_path = place(f"{out_dir}/{output}")
     target_fs.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
     part = f"{target_path}.{uuid.uuid4().hex}.part"
-    rows: list[dict] = []
-    offset, error = 0, None
-    with source_fs.open_input_stream(source_path, compression=None) as source, target_fs.open_output_stream(part, compression=None) as target:
+    n, offset, error = 0, 0, None
+    with source_fs.open_input_stream(source_path, compression=None) as source, target_fs.open_output_stream(part, compression=None) as target, target_fs.open_output_stream(part + ".idx", compression=None) as index:
         try:
-            for n, (head, raw) in enumerate(records(inflate(source))):
+            for head, raw in records(inflate(source)):
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = packer.compress(raw) + packer.flush()
                 target.write(member)
-                body = raw[raw.index(b"\r\n\r\n") + 4 : -4]
-                page = head.get("x-page-id")
-                rows.append({"path": name, "output": output.rsplit("/", 1)[-1], "record": n, "offset": offset, "length": len(member), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "page_id": int(page) if page else None, "body_bytes": len(body), "digest": hashlib.sha1(body).hexdigest(), "error": None})
-                offset += len(member)
+                body = memoryview(raw)[raw.index(b"\r\n\r\n") + 4 : -4]
+                entry = {"offset": offset, "length": len(member), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "digest": hashlib.sha1(body).hexdigest()}
+                index.write(json.dumps(entry).encode() + b"\n")
+                yield entry | {"path": name, "output": output, "record": n, "page_id": whole_number(head.get("x-page-id")), "body_bytes": len(body), "error": None}
+                n, offset = n + 1, offset + len(member)
         except BadFile as e:
             error = str(e)
     if error:
+        yield {"path": name, "output": None, "record": n, "error": error}
+    if error and not n:
         target_fs.delete_file(part)
-        return rows + [{"path": name, "output": None, "record": len(rows), "error": error}]
-    with target_fs.open_output_stream(part + ".idx", compression=None) as index:
-        for r in rows:
-            index.write(json.dumps({k: r[k] for k in ("offset", "length", "record_type", "target_uri", "digest")}).encode() + b"\n")
-    target_fs.move(part + ".idx", target_path + ".idx")
-    target_fs.move(part, target_path)
-    return rows
+        target_fs.delete_file(part + ".idx")
+    else:
+        target_fs.move(part + ".idx", target_path + ".idx")
+        target_fs.move(part, target_path)
 
 
 def normalise(files: DataFrame, out_dir: str) -> DataFrame:
@@ -155,8 +169,9 @@ def normalise(files: DataFrame, out_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                if path is not None:
-                    yield pa.RecordBatch.from_pylist(normalise_file(path, out_dir), schema=INDEX)
+                rows = normalise_file(path, out_dir) if path is not None else iter(())
+                while some := list(itertools.islice(rows, INDEX_ROWS)):
+                    yield pa.RecordBatch.from_pylist(some, schema=INDEX)
 
     return files.select("path").mapInArrow(run, INDEX_DDL)
 

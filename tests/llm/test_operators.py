@@ -339,20 +339,35 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.monoliths(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
-@pytest.mark.parametrize("raw, records", [(b"", 0), (b"no gzip", 0), (gzip.compress(b"junk\r\n\r\n"), 0), (gzip.compress(warc.warc_record(1, "u", "x") * 3)[:-20], None), (gzip.compress(warc.warc_record(1, "u", "x") + b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort"), 1)])
-def test_broken_files_are_reported(tmp_path, raw, records):
+GOOD = warc.warc_record(1, "u", "x")
+
+
+@pytest.mark.parametrize("raw, whole", [(b"", 0), (b"no gzip", 0), (gzip.compress(b"junk\r\n\r\n"), 0), (gzip.compress(GOOD + b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort"), 1), (gzip.compress(GOOD * 2 + b"\0" * 64), 2), (gzip.compress(GOOD + b"WARC/1.0\r\nContent-Length: -60\r\n\r\n" + GOOD), 1), (gzip.compress(GOOD + b"WARC/1.0\r\nContent-Length: 1_0\r\n\r\n0123456789\r\n\r\n"), 1), (gzip.compress(GOOD + b"x" * (3 << 20)), 1), (gzip.compress(GOOD) + b"tail", 1)])
+def test_broken_files_are_reported(tmp_path, raw, whole):
     (tmp_path / "a.warc.gz").write_bytes(raw)
-    rows = warc.normalise_file(f"{tmp_path}/a.warc.gz", f"{tmp_path}/out")
-    if raw == b"":
-        assert rows == []
-    else:
-        assert rows[-1]["error"] and (records is None or len(rows) == records + 1) and not (tmp_path / "out/a.warc.members.gz").exists()
+    rows = list(warc.normalise_file(f"{tmp_path}/a.warc.gz", f"{tmp_path}/out"))
+    out = tmp_path / "out/a.warc.members.gz"
+    assert [r["output"] for r in rows] == [out.name] * whole + [None] * bool(raw) and out.exists() == (whole > 0 or not raw)
+    assert all(warc.read_record(str(out), r["offset"], r["length"]) == GOOD for r in rows[:whole]) and all(r["error"] for r in rows[whole:])
+    assert not raw or (out.parent / (out.name + ".idx")).exists() == (whole > 0)
+
+
+def test_truncated_file_keeps_whole_records(tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(warc.warc_record(i, "u", "%d" % i * 5000) for i in range(300)))[:-60])
+    rows = list(warc.normalise_file(f"{tmp_path}/a.warc.gz", f"{tmp_path}/out"))
+    assert len(rows) > 200 and rows[-1]["error"] and [r["page_id"] for r in rows[:-1]] == list(range(len(rows) - 1))
+
+
+def test_foreign_heads(tmp_path):
+    heads = ["abc", "9" * 30, " 12 ", "-5", "1_0", ""]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(b"WARC/1.1\r\nX-Page-Id:" + h.encode() + b"\r\nContent-Length: 0\r\n\r\n\r\n\r\n" for h in heads)))
+    assert [r["page_id"] for r in warc.normalise_file(f"{tmp_path}/a.warc.gz", f"{tmp_path}/out")] == [None, None, 12, -5, None, None]
 
 
 def test_members_are_taken_like_one_stream(tmp_path):
     raw = [warc.warc_record(i, "u", "x" * i) for i in range(5)]
     (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
-    rows = warc.normalise_file(f"{tmp_path}/a.warc.gz", f"{tmp_path}/out")
+    rows = list(warc.normalise_file(f"{tmp_path}/a.warc.gz", f"{tmp_path}/out"))
     assert [r["page_id"] for r in rows] == list(range(5))
     assert zlib.decompress((tmp_path / "out/a.warc.members.gz").read_bytes()[rows[1]["offset"] :][: rows[1]["length"]], 31) == raw[1]
 
