@@ -3,6 +3,7 @@
 import gzip
 import itertools
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -372,13 +373,66 @@ def test_members_are_taken_like_one_stream(tmp_path):
     assert zlib.decompress((tmp_path / "out/a.warc.members.gz").read_bytes()[rows[1]["offset"] :][: rows[1]["length"]], 31) == raw[1]
 
 
+def texts(page):
+    """Texts with their elements that are no inline ones, outermost first."""
+    p = html_extract.parse(page)
+
+    def path(n):
+        return () if n == 0 else path(p.nodes[n].parent) + tuple(x.removeprefix("under:") for x in p.nodes[n].adds if x.startswith("under:"))
+
+    return [(b.text, path(b.node)) for b in p.blocks]
+
+
 def test_html_blocks():
-    texts = lambda page: [(b.text, b.path) for b in html_extract.blocks(page)]
     assert texts("<div>a<p>b<b>c<p>d</div><!-- x") == [("a", ("div",)), ("bc", ("div", "p")), ("d", ("div", "p"))]
     assert texts("<ul><li>1<li>2</ul>&amp; 3") == [("1", ("ul", "li")), ("2", ("ul", "li")), ("& 3", ())]
     assert texts("<script>var a='<p>x</p>'</script>y<style>") == [("y", ())] and texts("< 5 <") == [("< 5 <", ())]
     assert texts(None) == texts("") == texts("<p class=") == []
-    assert html_extract.blocks('<a href="x">l</a> t')[0].link_chars == 1
+    page = html_extract.parse('<a href="x">l</a> t')
+    assert page.blocks[0].link_chars == 1
+    crossed = html_extract.parse('<a class="k">l<div class="k j">m</a>n<p>o</div>q</p></a>r')
+    assert [(b.text, b.link_chars) for b in crossed.blocks] == [("l", 1), ("mn", 1), ("o", 0), ("qr", 0)] and crossed.nodes[1].adds == ("mark:k",) and crossed.nodes[2].adds == ("under:div", "mark:j")
+
+
+def test_deep_markup_takes_linear_time():
+    began = time.perf_counter()
+    for page in ("<div>x" * 60_000, '<i><div class="c%d">' * 40_000 + "x</i>" * 40_000, "<a><b>" * 40_000 + "</a>x" * 40_000, "<section>" * 60_000 + "<p>a<p>b" + "</section>" * 60_000):
+        html_extract.Model({"one": 0}, np.zeros((1, 2))).decode(html_extract.parse(page))
+    assert time.perf_counter() - began < 30
+
+
+def test_scores_and_training_are_those_of_listed_ancestors():
+    """The tree of elements against each block's features written out."""
+    rng = random.Random(8)
+    tags = ["div", "p", "section", "b", "a", "article", "ul", "li"]
+    pages = ["<article>in</article>" + "".join(rng.choice([f'<{rng.choice(tags)} class="c{rng.randint(0, 5)} c{rng.randint(0, 5)}">', f"</{rng.choice(tags)}>", "some text. ", "More"]) for _ in range(80)) for _ in range(6)]
+
+    def listed(page):
+        out = []
+        for b, f in zip(page.blocks, html_extract.features(page)):
+            n, f = b.node, list(f)
+            while n > 0:
+                f += page.nodes[n].adds
+                n = page.nodes[n].parent
+            assert len(set(f)) == len(f)
+            out.append(f)
+        return out
+
+    model = html_extract.fit(pages, epochs=1, seed=5)
+    flat = html_extract.Model(model.names, np.zeros_like(model.weights), np.zeros((2, 2)))
+    order = [html_extract.parse(p) for p in sorted(pages)]
+    for step, i in enumerate(np.random.default_rng(5).permutation(len(order))):
+        y, lr = np.array(order[i].inside()), html_extract.RATE / (1 + step / (2 * len(order)))
+        codes = flat.coded(listed(order[i]))
+        single, pairs = html_extract.marginals(np.array([flat.weights[k].sum(axis=0) for k in codes]), flat.moves)
+        gap = np.eye(2)[y] - single
+        flat.weights *= 1 - lr * html_extract.DECAY
+        for k, g in zip(codes, gap):
+            flat.weights[k] += lr * g / len(y) ** 0.5
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (y[:-1], y[1:]), 1)
+        flat.moves += lr * (seen - pairs) / len(y)
+    assert np.allclose(flat.weights, model.weights) and np.allclose(flat.moves, model.moves)
 
 
 def test_viterbi_and_marginals_against_brute_force():
@@ -388,7 +442,7 @@ def test_viterbi_and_marginals_against_brute_force():
         e = rng.normal(size=(n, 2))
         paths = {y: sum(e[i, y[i]] for i in range(n)) + sum(model.moves[a, b] for a, b in zip(y, y[1:])) for y in itertools.product((0, 1), repeat=n)}
         model.emissions = lambda page, e=e: e
-        assert tuple(model.decode([None] * n)) == max(paths, key=paths.get)
+        assert tuple(model.decode(html_extract.Page([None] * n, []))) == max(paths, key=paths.get)
         z = sum(np.exp(s) for s in paths.values())
         single, pairs = html_extract.marginals(e, model.moves)
         assert np.allclose(single[:, 1], [sum(np.exp(s) for y, s in paths.items() if y[i]) / z for i in range(n)])
@@ -400,10 +454,10 @@ def test_extraction_on_held_out_pages(spark):
     model = html_extract.fit(pages[:120])
     right = total = 0
     for page in pages[120:]:
-        b = html_extract.blocks(page.replace("<article>", "<div>").replace("</article>", "</div>"))  # landmarks are not needed
-        want = [int(x.inside) for x in html_extract.blocks(page)]
-        if len(want) == len(b):
-            right, total = right + sum(a == c for a, c in zip(model.decode(b), want)), total + len(b)
+        b = html_extract.parse(page.replace("<article>", "<div>").replace("</article>", "</div>"))  # landmarks are not needed
+        want = html_extract.parse(page).inside()
+        if len(want) == len(b.blocks):
+            right, total = right + sum(a == c for a, c in zip(model.decode(b), want)), total + len(want)
     assert right / total > 0.97
     odd = spark.createDataFrame([(1, None, "k"), (None, "", "k"), (2, "<p>" * 3000, "k"), (2, "<p>x", "k")], "page_id long, html string, text string")
     assert [(r["blocks"], r["kept"] <= r["blocks"]) for r in html_extract.extracted(odd, model).collect()] == [(0, True), (0, True), (0, True), (1, True)]
