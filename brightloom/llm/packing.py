@@ -9,16 +9,22 @@ at level h, by 2N(s) + 1 for a new window, and a window that becomes full counts
 no more, so one pass over the level array finds the best level. Ties go to the
 fullest window, and among windows at one level to the one opened first.
 
-The algorithm is sequential, so the corpus is cut by a hash of doc_id into
-shards of about `shard_docs` documents, packed independently. Only
-(doc_id, tokens) is shuffled; the open windows of a shard fit in a level array.
+The algorithm is sequential, so the corpus is cut by a hash into shards of about
+`shard_docs` documents, packed independently; a shard's windows do not depend on
+the number of tasks. Rows that are alike in id and text are counted before anything
+is shuffled, and their copies are dealt to shards in lots of `LOT`, so neither one
+id, nor null ids, nor one text fills a shard. Only (doc_id, a hash, tokens, copies)
+is shuffled; the open windows of a shard fit in a level array.
 
 Tokens are the pre-tokens of TOKEN: runs of letters or digits, or single other
 characters that are no white space.
 
 Defined results: documents with null or blank text have no tokens and are in no
-window; a null doc_id is packed like any other, after all ids of its shard;
-repeated rows are packed as often as they occur; an empty table gives no rows.
+window; very long ones fill windows of their own; a null doc_id is packed like
+any other, after all ids of its shard; repeated rows are packed as often as they
+occur; documents of one shard and id are taken by their tokens, then by the hash
+of their text; an empty table gives no rows; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +39,10 @@ from pyspark.sql import functions as F
 
 WINDOW_TOKENS = 2048
 SHARD_DOCS = 8192
+#: Copies of one row that go to one shard together.
+LOT = 256
+#: Tasks that pack, at most, for each task that the session shuffles to.
+TASKS = 8
 TOKEN = r"[\p{L}\p{M}\p{N}_]++|[^\s\p{L}\p{M}\p{N}_]"
 ARROW = pa.schema([("shard", pa.int32()), ("window_id", pa.int64()), ("doc_id", pa.int64()), ("start_token", pa.int64()), ("n_tokens", pa.int32()), ("at", pa.int32())])
 SCHEMA = "shard int, window_id long, doc_id long, start_token long, n_tokens int, at int"
@@ -99,13 +109,17 @@ def pack(docs: DataFrame, window_tokens: int = WINDOW_TOKENS, shard_docs: int =
         packer, current = Packer(window_tokens), None
         for batch in batches:
             out = []
-            for shard, doc, tokens in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "tokens"))):
+            for shard, doc, tokens, copies in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "tokens", "copies"))):
                 if shard != current:
                     packer, current = Packer(window_tokens), shard
-                out += [(shard, w, doc, s, n, at) for w, s, n, at in packer.add(tokens)]
+                for _ in range(copies):
+                    out += [(shard, w, doc, s, n, at) for w, s, n, at in packer.add(tokens)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind.type) for c, kind in zip(zip(*out), ARROW)] if out else [pa.array([], kind.type) for kind in ARROW], schema=ARROW)
 
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text")).alias("tokens")).where("tokens > 0")
-    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    ordered = sizes.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "tokens")
-    return ordered.select("shard", "doc_id", "tokens").mapInArrow(run, SCHEMA)
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), token_count(F.col("text")).alias("tokens")]
+    rows = docs.select(*own).where("tokens > 0").groupBy("doc_id", "text", "tokens").agg(F.count(F.lit(1)).alias("copies"))
+    lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / LOT)))).withColumn("copies", F.least(F.lit(LOT), F.col("copies") - F.col("lot") * LOT).cast("int"))
+    lots = lots.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("doc_id", "text"), "text", "lot"), F.lit(shards)).cast("int"))
+    tasks = min(shards, TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number, so that small shards are not put together
+    ordered = lots.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "tokens", "text", "lot")
+    return ordered.select("shard", "doc_id", "tokens", "copies").mapInArrow(run, SCHEMA)

@@ -138,6 +138,20 @@ def test_packing_covers_every_token(spark, docs, awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_against_brute_force_on_a_table(spark, docs):
+    got = packing.pack(docs, 128, 10_000).collect()
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("h"), packing.token_count(F.col("text")).alias("n")).where("n > 0").orderBy("doc_id", "n", "h").collect()
+    moved.clear()
+    want = brute_pack([r["n"] for r in sizes], 128)
+    assert [(r["window_id"], r["at"], r["n_tokens"]) for r in got] == want and {r["shard"] for r in got} == {0}
+
+
+def test_packing_spreads_hot_rows(spark):
+    for rows in ([(None, "a b c")] * 3000, [(7, "a b c")] * 3000, [(None, f"text {i}") for i in range(3000)], [(7, f"text {i}") for i in range(3000)]):
+        shards = Counter(r["shard"] for r in packing.pack(frame(spark, rows), 64, 300).collect())
+        assert sum(shards.values()) == 3000 and max(shards.values()) <= 1200 and len(shards) > 4
+
+
 # decontamination
 
 
