@@ -249,7 +249,7 @@ def test_scores_do_not_depend_on_the_batch(docs):
 
 def brute_components(fps, names, radius):
     bits = np.unpackbits(fps, axis=1)
-    near = (bits[:, None, :] != bits[None, :, :]).sum(axis=2) <= radius
+    near = (bits.sum(axis=1)[:, None] + bits.sum(axis=1)[None, :] - 2 * (bits.astype(np.float32) @ bits.T.astype(np.float32))) <= radius
     label = np.arange(len(fps))
     a, b = np.nonzero(near)
     simhash.unite(label, a, b)
@@ -273,6 +273,26 @@ def test_bit_slices_against_brute_force(n, buckets, radius):
         assert {int(i): int(label[i]) for i in own if label[i] != i} == want
 
 
+@pytest.mark.parametrize("n, share, radius", [(3000, 0.9, 52), (2500, 0.0, 20), (5000, 0.5, 45)])
+def test_pivots_lose_no_link(n, share, radius):
+    """A bucket in which many points share a template, chains of points among them."""
+    rng = np.random.default_rng(n)
+    fps = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    hot = rng.random(n) < share
+    fps[hot] = fps[0] ^ np.packbits(rng.random((hot.sum(), 256)) < rng.uniform(0, 0.16, (hot.sum(), 1)), axis=1)
+    for i in range(1, 40):  # a chain
+        fps[i] = fps[i - 1] ^ np.packbits(rng.random(256) < 0.12)
+    a, b = simhash.spanning(np.arange(n), fps, np.zeros(n, dtype=np.int64), radius)
+    label = np.arange(n)
+    simhash.unite(label, a, b)
+    assert {i: int(label[i]) for i in range(n) if label[i] != i} == brute_components(fps, np.arange(n), radius)
+
+
+def test_large_buckets_in_cells_give_the_same_groups(spark, docs):
+    want = ids(simhash.near_duplicates(docs, key_bits=3, tables=4), "doc_id", "keep_id")
+    assert want and ids(simhash.near_duplicates(docs, key_bits=3, tables=4, cell=7), "doc_id", "keep_id") == want
+
+
 def test_near_duplicates_recall(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
