@@ -5,36 +5,46 @@ tokens of short digit runs and punctuation only are one candidate. A candidate
 is an instance (its characters) and has lexical patterns: its shape (runs of
 letters, long hexadecimal and upper-case codes, and digits with their number),
 the same with digit runs up to four alike, the shape with the word before it and
-with the two before it, these two words alone, and what stands before an = or : inside it. Seed
-recognisers name a type for the instances that they match (a share of them, to
-measure what bootstrapping finds); everything else is unlabelled.
+with the two before it, these two words alone, and what stands before an = or :
+inside it.
+
+Seeds are few: of the instances that a type's seed recogniser matches, those that
+a hash draws with `SEED_SHARE`; the recognisers say nothing about the others,
+which are found through patterns or not at all. Results tell either (`seed`).
 
 The corpus becomes a graph between patterns and instances, aggregated over all
 documents. For each type, iteratively:
 
 * a pattern's confidence is the mean belief of its instances, taken over a
   smoothing `PRIOR` of unbelieved ones, and a pattern is trusted from
-  `PATTERN_LEAST` on if it has at least `SUPPORT` believed instances;
-* an instance's belief is 1 for a seed, else the highest confidence of its
-  trusted patterns.
-
-Where seeds are only a share, confidence is measured against that share in the
-first round. The negative type `number` (plain years, versions, ordinals)
-competes with the others: what a pattern passes on is its strongest type, and
-numbers are not reported. Occurrences of
-instances believed from `INSTANCE_LEAST` on are reported, with the instances'
-characters never leaving the cluster in the clear: results carry positions and
-a hash.
-
-Defined results: null, empty and candidate-free texts give nothing; a null
-doc_id is carried through; repeated rows are reported as often as they occur
-and weigh in the graph once for each distinct instance; an empty table gives no
-rows.
+  `PATTERN_LEAST` on if it has at least `SUPPORT` believed instances; in the first
+  round, when only seeds are believed, over the share of them that can be seeds;
+* an instance's belief is 1 for a seed, else the highest confidence (in steps of
+  0.01) that its trusted patterns have had; it never falls, so the rounds end, and
+  they go on until no belief changes.
+
+The negative type `number` (plain years, versions, ordinals) competes with the
+others: what a pattern passes on is its strongest type, and numbers are not
+reported. Occurrences of instances believed from `INSTANCE_LEAST` on are reported.
+
+Identifiers never leave the task that reads the text: instances are known by 128
+bits of SHA-256 over a secret salt and their characters, patterns (which hold words
+of the text) by a salted hash; only these are shuffled, checkpointed and returned.
+The salt is drawn for each call unless one is given, as a holder of it can test
+guesses.
+
+Defined results: null, empty and candidate-free texts give nothing; very long texts
+are read whole; a null doc_id is carried through; repeated rows are reported as
+often as they occur and weigh in the graph once for each distinct instance; of
+types with equal belief the last by name is taken; a corpus with fewer than
+`SUPPORT` seeds of a type yields its seeds alone; an empty table gives no rows;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,8 +53,7 @@ from pyspark.sql import functions as F
 
 from brightloom.llm.common import cut
 
-SEED_SHARE = 1.0
-ROUNDS = 3
+SEED_SHARE = 0.2
 PRIOR = 1.0
 SUPPORT = 2
 PATTERN_LEAST = 0.6
@@ -137,8 +146,12 @@ def candidates(text: str | None) -> Iterator[tuple[int, int, str, list[str]]]:
         i = nxt
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """FOUND: every candidate of every text with a digit or an @."""
+def occurrences(docs: DataFrame, salt: str) -> DataFrame:
+    """(doc_id, start, end, instance, kind, draw, patterns): every candidate of every text with a digit or an @.
+
+    instance and patterns are salted hashes, kind the type whose seed recogniser
+    matches (null for none), draw a number under 1000 that follows from the instance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,26 +161,30 @@ def occurrences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(FOUND)], schema=FOUND)
 
     some = docs.where(F.col("text").rlike(r"[0-9@]")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return some.mapInArrow(run, FOUND_DDL)
+    raw = F.col("instance")
+    return some.mapInArrow(run, FOUND_DDL).select(
+        "doc_id",
+        "start",
+        "end",
+        F.left(F.sha2(F.concat(F.lit(salt), raw), 256), F.lit(32)).alias("instance"),
+        F.coalesce(*[F.when(raw.rlike(r), F.lit(t)) for t, r in SEEDS.items()]).alias("kind"),
+        F.pmod(F.xxhash64(F.lit("seed"), raw), F.lit(1000)).cast("int").alias("draw"),
+        F.transform("patterns", lambda p: F.xxhash64(F.lit(salt), p)).alias("patterns"),
+    )
 
 
-def seed_type(instance: Column, share: float = SEED_SHARE) -> Column:
-    """The seed type of an instance, null for none and for the share that bootstrapping has to find."""
-    named = F.coalesce(*[F.when(instance.rlike(r), F.lit(t)) for t, r in SEEDS.items()])
-    chosen = F.pmod(F.xxhash64(F.lit("seed"), instance), F.lit(1000)) < int(1000 * share)
-    return F.when(chosen, named)
+def is_seed(share: float) -> Column:
+    """Whether an occurrence is one of a seed."""
+    return F.col("kind").isNotNull() & (F.col("draw") < round(1000 * share))
 
 
-def beliefs(found: DataFrame, rounds: int = ROUNDS, share: float = SEED_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(instance, type, belief) and (pattern, type, confidence) after so many rounds."""
+def beliefs(found: DataFrame, share: float = SEED_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(instance, type, belief) and (pattern, type, confidence), when no belief changes any more."""
     graph = cut(found.select("instance", F.explode("patterns").alias("pattern")).distinct())
-    sizes = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeds = graph.select("instance").distinct().withColumn("type", seed_type(F.col("instance"), share)).where("type is not null").withColumn("belief", F.lit(1.0))
-    believed = seeds = cut(seeds)
-    trusted = None
-    for nth in range(rounds):
-        # in the first round only a share of a pattern's instances can be seeds
-        full = F.col("n") * (share if nth == 0 else 1.0)
+    sizes = cut(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    seeds = cut(found.where(is_seed(share)).select("instance", F.col("kind").alias("type"), F.lit(1.0).alias("belief"), F.lit(True).alias("seed")).distinct())
+    believed, state, full = seeds, None, F.col("n") * share
+    while True:
         scored = (
             graph.join(believed, "instance")
             .groupBy("pattern", "type")
@@ -176,19 +193,23 @@ def beliefs(found: DataFrame, rounds: int = ROUNDS, share: float = SEED_SHARE) -
             .withColumn("confidence", F.least(F.lit(1.0), F.col("sum") / (full + PRIOR * (1.0 - F.least(F.lit(1.0), F.col("sum") / full)))))
         )
         best = scored.groupBy("pattern").agg(F.max_by(F.struct("type", "confidence", "support"), F.struct("confidence", "type")).alias("b")).select("pattern", "b.*")
-        trusted = cut(best.where((F.col("confidence") >= PATTERN_LEAST) & (F.col("support") >= SUPPORT)).select("pattern", "type", "confidence"))
-        carried = graph.join(trusted, "pattern").groupBy("instance").agg(F.max_by("type", F.struct("confidence", "type")).alias("type"), F.max("confidence").alias("belief"))
-        believed = cut(carried.join(seeds.select("instance"), "instance", "left_anti").unionByName(seeds))
-    return believed, trusted
+        trusted = best.where((F.col("confidence") >= PATTERN_LEAST) & (F.col("support") >= SUPPORT)).select("pattern", "type", "confidence")
+        carried = graph.join(trusted, "pattern").select("instance", "type", F.floor(F.col("confidence") * 100 + 1e-9) / 100, F.lit(False)).toDF("instance", "type", "belief", "seed")
+        whole = carried.unionByName(believed).groupBy("instance").agg(F.max(F.struct("seed", "belief", "type")).alias("b"))
+        believed = cut(whole.select("instance", "b.type", "b.belief", "b.seed"))
+        now = tuple(believed.agg(F.count(F.lit(1)), F.sum(F.round(F.col("belief") * 100).cast("long")), F.sum(F.xxhash64("type").cast("decimal(38,0)"))).first())
+        if now == state:
+            return believed.drop("seed"), trusted
+        state, full = now, F.col("n").cast("double")
 
 
-def identifiers(docs: DataFrame) -> DataFrame:
+def identifiers(docs: DataFrame, share: float = SEED_SHARE, salt: str | None = None) -> DataFrame:
     """(doc_id, type, start, end, belief, seed, instance_hash) of each identifier found."""
-    found = cut(occurrences(docs))
-    believed, _ = beliefs(found)
+    found = cut(occurrences(docs, salt or secrets.token_hex(16)))
+    believed, _ = beliefs(found, share)
     sure = believed.where((F.col("belief") >= INSTANCE_LEAST) & (F.col("type") != NEGATIVE))
     return (
-        found.select("doc_id", "start", "end", "instance")
+        found.select("doc_id", "start", "end", "instance", is_seed(share).alias("seed"))
         .join(sure, "instance")
-        .select("doc_id", "type", "start", "end", F.round("belief", 6).alias("belief"), seed_type(F.col("instance")).isNotNull().alias("seed"), F.sha2("instance", 256).alias("instance_hash"))
+        .select("doc_id", "type", "start", "end", "belief", "seed", F.col("instance").alias("instance_hash"))
     )
