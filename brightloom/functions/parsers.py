@@ -1,7 +1,7 @@
 """Log line parsers: json, logfmt, regexp, pattern, and line templates, as columns.
 
 All run inside the JVM but the flattening of nested JSON, for which there is no
-built-in; that goes through Arrow batches.
+built-in; lines that need it (and no others) go through Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brightloom.functions import labels as L
+from brightloom.functions.bind import bound
 
 _BAD_NAME = re.compile(r"[^a-zA-Z0-9_]")
 
@@ -62,9 +63,27 @@ def _json_map(lines: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def json_labels(line: Column) -> Column:
-    """Flattened labels of a JSON object, null for anything else."""
-    return _json_map(line)
+#: An object without objects or arrays in it, and numbers whose spelling is not their text.
+_FLAT = r"^\s*\{[^{}\[\]]*\}\s*$"
+_ODD_NUMBER = r":\s*(?:-?[0-9]+[.eE]|-?[0-9]{16}|-0)"
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _first_of_last(keys: Column, values: Column) -> Column:
+    """A map of keys and values; of a repeated key the last."""
+    back = F.reverse(keys)
+    return F.map_from_entries(F.filter(F.arrays_zip(back.alias("key"), F.reverse(values).alias("value")), lambda e, i: F.array_position(back, e["key"]) == i + 1))
+
+
+def with_json_labels(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the flattened labels of the JSON object in column `line`, null for anything else."""
+    line = F.col("line")
+    rows = bound(rows, {"flat": F.when(line.rlike(_FLAT) & ~line.rlike(_ODD_NUMBER), line)})
+    rows = rows.withColumn("deep", _json_map(F.when(F.col("flat").isNull(), line)))
+    rows = bound(rows, {"flat": F.from_json("flat", "map<string,string>", _STRICT)})
+    keys = F.transform(F.map_keys("flat"), lambda k: F.when(k.rlike("^[a-zA-Z_][a-zA-Z0-9_]*$"), k).otherwise(F.regexp_replace(F.regexp_replace(k, r"[^a-zA-Z0-9_]", "_"), r"^([0-9])", "_$1")))
+    values = F.transform(F.map_values("flat"), lambda v: F.coalesce(v, F.lit("")))
+    return bound(rows, {name: F.coalesce(F.when(F.col("flat").isNotNull(), _first_of_last(keys, values)), F.col("deep"))}).drop("flat", "deep")
 
 
 def json_field(line: Column, path: str) -> Column:
@@ -74,35 +93,25 @@ def json_field(line: Column, path: str) -> Column:
     return F.get_json_object(line, at)
 
 
+_PAIR = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
+
+
+def _unquoted(v: Column) -> Column:
+    return F.when(v.startswith('"'), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v)
+
+
 def logfmt_labels(line: Column) -> Column:
     """key=value pairs of a line; of a repeated key the last."""
-    pair = r'([^\s="]+)=("(?:[^"\\]|\\.)*"|[^\s"]*)'
-    keys = F.transform(F.regexp_extract_all(line, F.lit(pair), F.lit(1)), lambda k: F.regexp_replace(F.regexp_replace(k, r"[^a-zA-Z0-9_]", "_"), r"^([0-9])", "_$1"))
-    quoted = F.regexp_extract_all(line, F.lit(pair), F.lit(2))
-    values = F.transform(quoted, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v))
-    back_keys, back_values = F.reverse(keys), F.reverse(values)
-    entries = F.arrays_zip(back_keys.alias("key"), back_values.alias("value"))
-    # from the end: the first of a key is its last in the line
-    first = F.filter(entries, lambda e, i: F.array_position(back_keys, e["key"]) == i + 1)
-    return F.map_from_entries(first)
+    keys = F.transform(F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1)), lambda k: F.regexp_replace(F.regexp_replace(k, r"[^a-zA-Z0-9_]", "_"), r"^([0-9])", "_$1"))
+    return _first_of_last(keys, F.transform(F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)), _unquoted))
 
 
 def logfmt_value(line: Column, name: str) -> Column:
     """The last value of one key of a logfmt line, null if it is missing."""
     spelt = "".join('[^a-zA-Z0-9\\s="]' if c == "_" else c for c in name)
     found = F.regexp_extract_all(line, F.lit(f'(?:^|[^\\S\\n]|\\n)({spelt})=("(?:[^"\\\\]|\\\\.)*"|[^\\s"]*)'), F.lit(2))
-    last = F.try_element_at(found, F.lit(-1))
-    return F.when(last.startswith('"'), F.regexp_replace(F.substring(last, F.lit(2), F.length(last) - 2), r"\\(.)", "$1")).otherwise(last)
-
-
-def json_values(line: Column, names: list[str]) -> dict[str, Column]:
-    """Flattened values of some labels of a JSON object.
-
-    A name without an underscore is a key of the object itself and is read
-    inside the JVM; others may be nested and take the flattened map.
-    """
-    nested = json_labels(line) if any("_" in n for n in names) else None
-    return {n: nested[n] if "_" in n else F.get_json_object(line, f"$['{n}']") for n in names}
+    # bound as a lambda's variable, the value is found once
+    return F.get(F.transform(F.array(F.try_element_at(found, F.lit(-1))), _unquoted), F.lit(0))
 
 
 def capture_numbers(pattern: str) -> tuple[str, dict[str, int]]:

@@ -12,7 +12,7 @@ BYTES = {"b": 1, "kb": 1e3, "mb": 1e6, "gb": 1e9, "tb": 1e12, "pb": 1e15, "kib":
 DURATION = re.compile(r"(?:\d+(?:\.\d+)?(?:ns|us|µs|μs|ms|[smhdwy]))+")
 _PART = re.compile(r"(\d+(?:\.\d+)?)(ns|us|µs|μs|ms|[smhdwy])")
 _SIZE = re.compile(r"(\d+(?:\.\d+)?)\s*([kmgtp]i?b|b)\Z", re.I)
-GO_FLOAT = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+GO_FLOAT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def duration_ns(text: str) -> int:
@@ -27,26 +27,28 @@ def size_bytes(text: str) -> float | None:
     return float(m[1]) * BYTES[m[2].lower()] if m else None
 
 
-def number(text: Column) -> Column:
-    """The double a text spells, null if it spells none."""
-    low = F.lower(F.regexp_replace(text, r"^\+", ""))
-    special = F.when(low.isin("inf", "infinity"), F.lit(float("inf"))).when(low.isin("-inf", "-infinity"), F.lit(float("-inf"))).when(low.isin("nan", "-nan"), F.lit(float("nan")))
-    return F.when(text.rlike(GO_FLOAT), F.coalesce(special, text.try_cast("double")))
+def number(text: str) -> Column:
+    """The double that a column's text spells, null if it spells none; text is the column's name."""
+    return F.expr(f"""CASE WHEN {text} RLIKE r'{GO_FLOAT}' THEN try_cast({text} AS DOUBLE)
+        WHEN lower({text}) IN ('inf', '+inf', 'infinity', '+infinity') THEN double('Infinity') WHEN lower({text}) IN ('-inf', '-infinity') THEN double('-Infinity')
+        WHEN lower({text}) IN ('nan', '+nan', '-nan') THEN double('NaN') END""")
 
 
-def seconds(text: Column) -> Column:
-    """The seconds of a duration text such as 250ms or 1h30m, null if it is none."""
-    body = F.regexp_replace(text, r"^[+-]", "")
-    unit = r"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)(ns|us|µs|μs|ms|s|m|h|d|w)"
-    counts, units = F.regexp_extract_all(body, F.lit(unit), F.lit(1)), F.regexp_extract_all(body, F.lit(unit), F.lit(2))
-    scale = F.create_map(*[F.lit(x) for u, n in NS.items() if u != "y" for x in (u, n / 1e9)])
-    total = F.aggregate(F.zip_with(counts, units, lambda n, u: n.cast("double") * scale[u]), F.lit(0.0), lambda a, x: a + x)
-    sign = F.when(text.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.when(body == "0", F.lit(0.0)).when(body.rlike(f"^(?:{unit})+$"), sign * total)
+_UNIT = r"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)(ns|us|µs|μs|ms|s|m|h|d|w)"
+_SCALES = ", ".join(f"'{u}', {n / 1e9!r}D" for u, n in NS.items() if u != "y")
 
 
-def size(text: Column) -> Column:
-    """The bytes of a size text such as 1.5KiB or 512B; a bare number is bytes; null if it is neither."""
+def seconds(text: str) -> Column:
+    """The seconds of a duration text such as 250ms or 1h30m, null if it is none; text is the column's name."""
+    part = lambda i: f"regexp_extract_all({text}, r'{_UNIT}', {i})"
+    total = f"aggregate(zip_with({part(1)}, {part(2)}, (n, u) -> double(n) * map({_SCALES})[u]), 0D, (a, x) -> a + x)"
+    return F.expr(f"CASE WHEN {text} RLIKE r'^[+-]?0$' THEN 0D WHEN {text} RLIKE r'^[+-]?(?:{_UNIT})+$' THEN IF(startswith({text}, '-'), -1D, 1D) * {total} END")
+
+
+_SIZES = ", ".join(f"'{u}', {float(n)!r}D" for u, n in {**BYTES, "": 1, "k": 1e3, "m": 1e6, "g": 1e9, "t": 1e12, "ki": 2**10, "mi": 2**20, "gi": 2**30, "ti": 2**40}.items())
+
+
+def size(text: str) -> Column:
+    """The bytes of a size text such as 1.5KiB or 512B; a bare number is bytes; null if it is neither; text is the column's name."""
     pattern = r"^([0-9]+(?:\.[0-9]+)?)\s*([a-zA-Z]*)$"
-    scale = F.create_map(*[F.lit(x) for u, n in {**BYTES, "": 1, "k": 1e3, "m": 1e6, "g": 1e9, "t": 1e12, "ki": 2**10, "mi": 2**20, "gi": 2**30, "ti": 2**40}.items() for x in (u, float(n))])
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).try_cast("double") * F.try_element_at(scale, F.lower(F.regexp_extract(text, pattern, 2))))
+    return F.expr(f"CASE WHEN {text} RLIKE r'{pattern}' THEN try_cast(regexp_extract({text}, r'{pattern}', 1) AS DOUBLE) * try_element_at(map({_SIZES}), lower(regexp_extract({text}, r'{pattern}', 2))) END")

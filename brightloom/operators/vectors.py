@@ -12,10 +12,7 @@ from brightloom.functions.ieee import ARITHMETIC, COMPARE, INF, NAN, fixed, lit
 from brightloom.operators.windows import largest, quantile
 
 
-
-def _aggregates() -> dict[str, Column]:
-    v = F.col("v")
-    return {"sum": F.sum(v), "avg": F.avg(v), "min": F.min(v), "max": largest(v), "count": F.count(F.lit(1)).cast("double"), "group": F.max(lit(1.0)), "stddev": F.stddev_pop(v), "stdvar": F.var_pop(v)}
+AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": largest, "count": lambda v: F.count(F.lit(1)).cast("double"), "group": lambda v: F.max(lit(1.0)), "stddev": F.stddev_pop, "stdvar": F.var_pop}
 
 
 class MatchError(ValueError):
@@ -41,9 +38,9 @@ def aggregate(vector: DataFrame, op: str, names: Sequence[str] | None, without:
     if op == "count_values":
         spelt = vector.withColumn("labels", L.put(F.col("labels"), str(param), fixed(F.col("v"))))
         if without:
-            return grouped(spelt, [n for n in names or [] if n != param], True, _aggregates()["count"])
-        return grouped(spelt, [*(names or []), str(param)], False, _aggregates()["count"])
-    return grouped(vector, names, without, _aggregates()[op])
+            return grouped(spelt, [n for n in names or [] if n != param], True, AGGREGATES["count"](F.col("v")))
+        return grouped(spelt, [*(names or []), str(param)], False, AGGREGATES["count"](F.col("v")))
+    return grouped(vector, names, without, AGGREGATES[op](F.col("v")))
 
 
 def top(vector: DataFrame, k: int, lowest: bool, names: Sequence[str] | None = None, without: bool = False) -> DataFrame:

@@ -25,35 +25,29 @@ def quantile(v: Column, q: float) -> Column:
     return F.percentile(v, F.lit(q))
 
 
-def _decomposed() -> dict:
-    """Partial columns and how to finish them, for functions that partial results determine."""
-    v = F.col("v")
-    return {
-        "count": ({"n": F.count(F.lit(1))}, F.sum("n").cast("double")),
-        "sum": ({"s": F.sum(v)}, F.sum("s")),
-        "avg": ({"s": F.sum(v), "n": F.count(v)}, F.sum("s") / F.sum("n")),
-        "min": ({"m": F.min(v)}, F.min("m")),
-        "max": ({"m": largest(v)}, largest(F.col("m"))),
-        "first": ({"f": F.min_by("v", "t"), "ft": F.min("t")}, F.min_by("f", "ft")),
-        "last": ({"l": F.max_by("v", "t"), "lt": F.max("t")}, F.max_by("l", "lt")),
-        "present": ({"n": F.count(F.lit(1))}, F.max(lit(1.0))),
-    }
-
-
-def _direct() -> dict:
-    v = F.col("v")
-    return {
-        "count": F.count(F.lit(1)).cast("double"),
-        "sum": F.sum(v),
-        "avg": F.avg(v),
-        "min": F.min(v),
-        "max": largest(v),
-        "first": F.min_by("v", "t"),
-        "last": F.max_by("v", "t"),
-        "present": F.max(lit(1.0)),
-        "stddev": F.stddev_pop(v),
-        "stdvar": F.var_pop(v),
-    }
+#: Partial columns and how to finish them, for functions that partial results determine.
+DECOMPOSED = {
+    "count": lambda v: ({"n": F.count(F.lit(1))}, F.sum("n").cast("double")),
+    "sum": lambda v: ({"s": F.sum(v)}, F.sum("s")),
+    "avg": lambda v: ({"s": F.sum(v), "n": F.count(v)}, F.sum("s") / F.sum("n")),
+    "min": lambda v: ({"m": F.min(v)}, F.min("m")),
+    "max": lambda v: ({"m": largest(v)}, largest(F.col("m"))),
+    "first": lambda v: ({"f": F.min_by(v, "t"), "ft": F.min("t")}, F.min_by("f", "ft")),
+    "last": lambda v: ({"l": F.max_by(v, "t"), "lt": F.max("t")}, F.max_by("l", "lt")),
+    "present": lambda v: ({"n": F.count(F.lit(1))}, F.max(lit(1.0))),
+}
+DIRECT = {
+    "count": lambda v: F.count(F.lit(1)).cast("double"),
+    "sum": F.sum,
+    "avg": F.avg,
+    "min": F.min,
+    "max": largest,
+    "first": lambda v: F.min_by(v, "t"),
+    "last": lambda v: F.max_by(v, "t"),
+    "present": lambda v: F.max(lit(1.0)),
+    "stddev": F.stddev_pop,
+    "stdvar": F.var_pop,
+}
 
 
 COUNTER = frozenset(("rate", "increase"))
@@ -65,12 +59,13 @@ def over_time(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, f
     Where the window is several whole steps, points are first reduced to one
     partial row for each step, and only those are fanned out.
     """
-    bucketed = buckets(points, grid, window) if function in _decomposed() else None
+    v = F.col("v")
+    bucketed = buckets(points, grid, window) if function in DECOMPOSED else None
     if bucketed is not None:
-        partial, final = _decomposed()[function]
+        partial, final = DECOMPOSED[function](v)
         reduced = bucketed.groupBy(*keys, "b").agg(*[c.alias(n) for n, c in partial.items()])
         return fan_out_buckets(reduced, grid, window).groupBy(*keys, "k").agg(final.alias("v"))
-    return fan_out(points, grid, window).groupBy(*keys, "k").agg(_direct()[function].alias("v"))
+    return fan_out(points, grid, window).groupBy(*keys, "k").agg(DIRECT[function](v).alias("v"))
 
 
 def quantile_over_time(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, q: float, nearest: bool = False) -> DataFrame:

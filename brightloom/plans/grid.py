@@ -32,8 +32,8 @@ class Grid:
 
 
 def floor_div(x: Column, by: int) -> Column:
-    """The whole number below x / by, exact for all 64-bit numbers that it is used for."""
-    return F.round((x - F.pmod(x, F.lit(by))) / F.lit(by)).cast("bigint")
+    """The whole number below x / by."""
+    return F.call_function("div", x - F.pmod(x, F.lit(by)), F.lit(by))
 
 
 def ceil_div(x: Column, by: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import ieee, parsers, units
 from brightloom.functions import labels as L
+from brightloom.functions.bind import bound
 from brightloom.functions.ieee import lit
 from brightloom.lang import logql as ast
 from brightloom.lang.promql import Binary, Num
@@ -44,27 +45,42 @@ def line_predicate(f: ast.LineFilter) -> Column:
     return hit if f.op[0] == "|" else ~hit
 
 
-def term_predicate(name: str, op: str, kind: str, literal: object, look: Callable[[str], Column] = lookup) -> Column:
-    text = look(name)
+_READ = {"number": units.number, "duration": units.seconds, "bytes": units.size}
+_ORDER: dict[str, Callable[[Column, Column], Column]] = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
+
+
+def term_predicate(op: str, kind: str, literal: object, text: Column, read: Column | None) -> Column:
+    """One comparison of a label filter; read: what the text spells, where it is compared as a number."""
     if kind == "text":
-        return {"=": text == literal, "==": text == literal, "!=": text != literal}.get(op) if op in ("=", "==", "!=") else L.matches(text, op, literal) if L.matches(text, op, literal) is not None else F.lit(True)
+        if op in ("=", "==", "!="):
+            return text != literal if op == "!=" else text == literal
+        hit = L.matches(text, op, literal)
+        return F.lit(True) if hit is None else hit
     number, spelt = literal
     if op in ("=", "=="):
         return text == spelt
     if op == "!=":
         return text != spelt
-    if op in ("=~", "!~"):
+    if op not in _ORDER:
         raise QueryError("a pattern is a string")
-    read = {"number": units.number, "duration": units.seconds, "bytes": units.size}[kind](text)
-    hit = {">": read > number, ">=": read >= number, "<": read < number, "<=": read <= number}[op]
-    return F.coalesce(hit & ~F.isnan(read), F.lit(False))
+    return F.coalesce(_ORDER[op](read, F.lit(float(number))) & ~F.isnan(read), F.lit(False))
+
 
+def filtered(rows: DataFrame, f: ast.LabelFilter, look: Callable[[str], Column] = lookup) -> DataFrame:
+    """The rows that pass a label filter; what is read as a number is read once."""
+    read = {i: (look(name), kind) for i, (name, op, kind, _) in enumerate(f.terms) if kind != "text" and op in _ORDER}
+    held = bound(bound(rows, {f"text{i}": c for i, (c, _) in read.items()}), {f"read{i}": _READ[kind](f"text{i}") for i, (_, kind) in read.items()})
+    out = None
+    for i, (name, op, kind, literal) in enumerate(f.terms):
+        p = term_predicate(op, kind, literal, F.col(f"text{i}") if i in read else look(name), F.col(f"read{i}") if i in read else None)
+        out = p if out is None else out | p if f.connectors[i - 1] == "or" else out & p
+    return held.where(out).select(*rows.columns)
 
-def filter_predicate(f: ast.LabelFilter, look: Callable[[str], Column] = lookup) -> Column:
-    out = term_predicate(*f.terms[0], look)
-    for connector, term in zip(f.connectors, f.terms[1:]):
-        out = out | term_predicate(*term, look) if connector == "or" else out & term_predicate(*term, look)
-    return out
+
+def unwrapped(rows: DataFrame, text: Column, how: str) -> DataFrame:
+    """rows with the number that a text spells in column unwrap."""
+    rows = bound(rows.drop("unwrap"), {"text": text})
+    return bound(bound(rows, {"unwrap": _READ[how]("text")}).drop("text"), {"unwrap": F.when(~F.isnan("unwrap"), F.col("unwrap"))})
 
 
 def failed(error: str) -> Column:
@@ -79,42 +95,39 @@ def stage(rows: DataFrame, s: object) -> DataFrame:
     if isinstance(s, ast.LineFilter):
         return rows.where(line_predicate(s))
     if isinstance(s, ast.LabelFilter):
-        return rows.where(filter_predicate(s))
+        return filtered(rows, s)
     if s.name == "json" and s.args:
-        bad = F.get_json_object(line, "$").isNull()
-        for name, path in s.args:
-            found = parsers.json_field(line, path)
-            rows = rows.withColumn("labels", F.when(found.isNull(), labels).otherwise(L.put(labels, name, found)))
-        return rows.withColumn("labels", F.when(bad, failed("JSONParserErr")).otherwise(labels))
+        rows = bound(rows, {"bad": F.get_json_object(line, "$").isNull()} | {f"found{i}": parsers.json_field(line, path) for i, (_, path) in enumerate(s.args)})
+        for i, (name, _) in enumerate(s.args):
+            found = F.col(f"found{i}")
+            rows = bound(rows, {"labels": F.when(found.isNull(), labels).otherwise(L.put(labels, name, found))})
+        return bound(rows, {"labels": F.when(F.col("bad"), failed("JSONParserErr")).otherwise(labels)}).drop("bad", *[f"found{i}" for i in range(len(s.args))])
     if s.name == "json":
-        rows = rows.withColumn("parsed", parsers.json_labels(line))
-        return rows.withColumn("labels", F.when(F.col("parsed").isNull(), failed("JSONParserErr")).otherwise(L.merge(labels, F.col("parsed")))).drop("parsed")
+        rows = parsers.with_json_labels(rows, "parsed")
+        return bound(rows, {"labels": F.when(F.col("parsed").isNull(), failed("JSONParserErr")).otherwise(L.merge(labels, F.col("parsed")))}).drop("parsed")
     if s.name == "logfmt":
-        return rows.withColumn("parsed", parsers.logfmt_labels(line)).withColumn("labels", L.merge(labels, F.col("parsed"))).drop("parsed")
+        return bound(bound(rows, {"parsed": parsers.logfmt_labels(line)}), {"labels": L.merge(labels, F.col("parsed"))}).drop("parsed")
     if s.name in ("regexp", "pattern"):
         regex = s.args[0] if s.name == "regexp" else parsers.pattern_regex(s.args[0])
         if "(?<" not in regex and "(?P<" not in regex:
             return rows
-        parsed = parsers.capture_labels(line, regex)
-        return rows.withColumn("parsed", parsed).withColumn("labels", F.when(F.col("parsed").isNull(), labels).otherwise(L.merge(labels, F.col("parsed")))).drop("parsed")
+        rows = bound(rows, {"parsed": parsers.capture_labels(line, regex)})
+        return bound(rows, {"labels": F.when(F.col("parsed").isNull(), labels).otherwise(L.merge(labels, F.col("parsed")))}).drop("parsed")
     if s.name == "line_format":
-        return rows.withColumn("line", parsers.template(s.args[0], running, line))
+        return bound(rows, {"line": parsers.template(s.args[0], running, line)})
     if s.name == "label_format":
         for name, how, text in s.args:
-            new = parsers.template(text, running, line) if how == "template" else lookup(text)
-            rows = rows.withColumn("labels", L.put(labels, name, new))
+            rows = bound(rows, {"new": parsers.template(text, running, line) if how == "template" else lookup(text)})
+            rows = bound(rows, {"labels": L.put(labels, name, F.col("new"))}).drop("new")
         return rows
     if s.name in ("drop", "keep"):
         f = L.without if s.name == "drop" else (lambda m, names: L.only(m, [*names, "__error__"]))
         return rows.withColumn("labels", f(labels, s.args)).withColumn("fields", f(F.col("fields"), s.args))
     if s.name == "decolorize":
-        return rows.withColumn("line", F.regexp_replace(line, _ANSI, ""))
+        return bound(rows, {"line": F.regexp_replace(line, _ANSI, "")})
     if s.name == "unwrap":
-        name, how = s.args
-        text = lookup(name)
-        read = units.number(text) if how == "number" else units.size(text) if how == "bytes" else units.seconds(text)
-        rows = rows.withColumn("unwrap", F.when(~F.isnan(read), read))
-        return rows.withColumn("labels", F.when(F.col("unwrap").isNull(), failed("SampleExtractionErr")).otherwise(labels))
+        rows = unwrapped(rows, lookup(s.args[0]), s.args[1])
+        return bound(rows, {"labels": F.when(F.col("unwrap").isNull(), failed("SampleExtractionErr")).otherwise(labels)})
     raise QueryError(f"unknown stage {s.name}")
 
 
@@ -173,44 +186,49 @@ class Lean:
         return F.coalesce(self.at(name), self.at(name) + "f", F.lit(""))
 
     def put(self, found: dict[str, Column]) -> None:
-        kept = {n: c for n, c in found.items() if n in self.names}
-        self.rows = self.rows.withColumns({self.at(n): F.coalesce(c, F.col(self.at(n))) for n, c in kept.items()})
+        self.rows = bound(self.rows, {self.at(n): F.coalesce(c, F.col(self.at(n))) for n, c in found.items() if n in self.names})
 
     def fail(self, when: Column, error: str) -> None:
         if "__error__" in self.names:
             at = self.at("__error__")
-            self.rows = self.rows.withColumn(at, F.when(when & F.col(at).isNull(), error).otherwise(F.col(at)))
+            self.rows = bound(self.rows, {at: F.when(when & F.col(at).isNull(), error).otherwise(F.col(at))})
 
     def stage(self, s: object) -> None:
         line = F.col("line")
         if isinstance(s, ast.LineFilter):
             self.rows = self.rows.where(line_predicate(s))
         elif isinstance(s, ast.LabelFilter):
-            self.rows = self.rows.where(filter_predicate(s, self.look))
-        elif s.name == "json":
+            self.rows = filtered(self.rows, s, self.look)
+        elif s.name == "json" and s.args:
             if "__error__" in self.names:
-                self.fail(F.get_json_object(line, "$").isNull() if s.args else parsers.json_labels(line).isNull(), "JSONParserErr")
-            self.put({n: parsers.json_field(line, path) for n, path in s.args} if s.args else parsers.json_values(line, [n for n in self.names if not n.startswith("__")]))
+                self.fail(F.get_json_object(line, "$").isNull(), "JSONParserErr")
+            self.put({n: parsers.json_field(line, path) for n, path in s.args})
+        elif s.name == "json":
+            wanted = [n for n in self.names if not n.startswith("__")]
+            if "__error__" not in self.names and not any("_" in n for n in wanted):
+                self.put({n: F.get_json_object(line, f"$['{n}']") for n in wanted})  # a name without an underscore is a key of the object itself
+            else:
+                self.rows = parsers.with_json_labels(self.rows, "parsed")
+                self.fail(F.col("parsed").isNull(), "JSONParserErr")
+                self.put({n: F.col("parsed")[n] for n in wanted})
+                self.rows = self.rows.drop("parsed")
         elif s.name == "logfmt":
             self.put({n: parsers.logfmt_value(line, n) for n in self.names})
         elif s.name in ("regexp", "pattern"):
             regex, number = parsers.capture_numbers(s.args[0] if s.name == "regexp" else parsers.pattern_regex(s.args[0]))
             self.put({n: F.when(line.rlike(regex), F.regexp_extract(line, regex, i)) for n, i in number.items()})
         elif s.name == "line_format":
-            self.rows = self.rows.withColumn("line", parsers.template(s.args[0], self.exact, line))
+            self.rows = bound(self.rows, {"line": parsers.template(s.args[0], self.exact, line)})
         elif s.name == "label_format":
             for name, how, text in s.args:
-                self.rows = self.rows.withColumn(self.at(name), parsers.template(text, self.exact, line) if how == "template" else self.look(text))
+                self.rows = bound(self.rows, {self.at(name): parsers.template(text, self.exact, line) if how == "template" else self.look(text)})
         elif s.name in ("drop", "keep"):
             gone = [n for n in self.names if (n in s.args) == (s.name == "drop") and n != "__error__"]
             self.rows = self.rows.withColumns({self.at(n) + side: F.lit(None).cast("string") for n in gone for side in ("", "f")})
         elif s.name == "decolorize":
-            self.rows = self.rows.withColumn("line", F.regexp_replace(line, _ANSI, ""))
+            self.rows = bound(self.rows, {"line": F.regexp_replace(line, _ANSI, "")})
         elif s.name == "unwrap":
-            name, how = s.args
-            text = self.look(name)
-            read = units.number(text) if how == "number" else units.size(text) if how == "bytes" else units.seconds(text)
-            self.rows = self.rows.withColumn("unwrap", read).withColumn("unwrap", F.when(~F.isnan("unwrap"), F.col("unwrap")))
+            self.rows = unwrapped(self.rows, self.look(s.args[0]), s.args[1])
             self.fail(F.col("unwrap").isNull(), "SampleExtractionErr")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from brightloom.functions import labels as L
+from brightloom.functions.bind import bound
 
 Matchers = Sequence[tuple[str, str, str]]
 
@@ -179,12 +180,15 @@ def events_logs(spark: SparkSession, sf_dir: str, line: str = "json") -> LogStor
     line: json (the column props), logfmt, or text.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k")
+    k, at = F.col("k"), F.col("ns")
     body = {
         "json": F.col("props"),
         "logfmt": F.concat(F.lit("type="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" took="), k, F.lit("ms size="), k, F.lit("KiB")),
         "text": F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), "event_type", F.lit(" k="), k),
     }[line]
-    ns = micros("ts") * 1000
-    rows = e.select("ts", ns.alias("ts_ns"), ns.alias("observed_ns"), body.alias("line"), F.create_map(F.lit("app"), F.lit("events"), F.lit("event_type"), F.col("event_type")).alias("stream"), L.empty().alias("resource"), L.empty().alias("fields"))
+    e = e.withColumn("ns", micros("ts") * 1000)
+    if line != "json":
+        e = bound(bound(e, {"k": F.get_json_object("props", "$.k")}), {"body": body})
+        body = F.col("body")
+    rows = e.select("ts", at.alias("ts_ns"), at.alias("observed_ns"), body.alias("line"), F.create_map(F.lit("app"), F.lit("events"), F.lit("event_type"), F.col("event_type")).alias("stream"), L.empty().alias("resource"), L.empty().alias("fields"))
     return LogStore(rows, time="ts")

@@ -9,6 +9,7 @@ from brightloom.functions import labels as L
 from brightloom.functions import parsers, units
 from brightloom.operators import histograms as H
 from brightloom.plans import logql as plan
+from brightloom.queries import QUERIES
 from brightloom.sources import ingest, stores
 
 S = 1_000_000_000
@@ -233,11 +234,11 @@ def test_push_and_severity(spark):
 
 def test_units(spark):
     df = spark.createDataFrame([("1h30m",), ("250ms",), ("-1.5s",), ("5",), ("x",)], "t string")
-    assert [r[0] for r in df.select(units.seconds(F.col("t"))).collect()] == [5400.0, 0.25, -1.5, None, None]
+    assert [r[0] for r in df.select(units.seconds("t")).collect()] == [5400.0, 0.25, -1.5, None, None]
     df = spark.createDataFrame([("1.5KiB",), ("512B",), ("2MB",), ("7",), ("5d",)], "t string")
-    assert [r[0] for r in df.select(units.size(F.col("t"))).collect()] == [1536.0, 512.0, 2e6, 7.0, None]
+    assert [r[0] for r in df.select(units.size("t")).collect()] == [1536.0, 512.0, 2e6, 7.0, None]
     df = spark.createDataFrame([("5",), (" 5 ",), ("5d",), ("-1e3",), ("+Inf",)], "t string")
-    assert [r[0] for r in df.select(units.number(F.col("t"))).collect()] == [5.0, None, None, -1000.0, math.inf]
+    assert [r[0] for r in df.select(units.number("t")).collect()] == [5.0, None, None, -1000.0, math.inf]
 
 
 def test_native_histograms(spark):
@@ -268,3 +269,31 @@ def test_logfmt_last_key_wins(spark):
     (r,) = spark.createDataFrame([('a=1 b="x \\"y\\"" a=2 c-d=3 bare',)], "line string").select(parsers.logfmt_labels(F.col("line")).alias("m"), parsers.logfmt_value(F.col("line"), "a").alias("a"), parsers.logfmt_value(F.col("line"), "c_d").alias("c")).collect()
     assert r["m"] == {"a": "2", "b": 'x "y"', "c_d": "3"} and (r["a"], r["c"]) == ("2", "3")
     assert plan.needed([], ["level"]) == list(L.LEVELS)
+
+
+def test_json_labels_against_plain_python(spark):
+    lines = ['{"a":1}', '{"a":1.50,"b":1e3}', '{"a":12345678901234567890}', '{"a":-0}', '{"a":null,"b":true,"c":"x\\u00e9\\n\\"q"}', '{"a":{"b":{"c-d":[1, 2.50]}},"a_b":"x"}', '{"a":1,"a":2}', '{"a.b":1,"a_b":2}', '{"9x":"y"}', "{}", '{"a":1}{', '{"a":1} x', "{'a':1}", '{"a":1,}', '{"a":01}', '{"a":"}"}', "[1]", '"x"', "", "plain", '{"a" : "b:{" }', ' {"a": "2 3"} ', '{"a":{}}', '{"a":tru}', None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = {r["i"]: r["p"] for r in parsers.with_json_labels(df, "p").collect()}
+    for i, line in enumerate(lines):
+        try:
+            value = json.loads(line)
+        except (TypeError, ValueError):
+            value = None
+        want = None
+        if isinstance(value, dict):
+            want = {}
+            parsers._flatten("", value, want)
+        assert got[i] == want, line
+
+
+@pytest.mark.parametrize("name", ["logql_select", "logql_regexp_min", "logql_pattern_stddev", "logql_logfmt_duration", "logql_logfmt_bytes", "logql_json_sum", "logql_json_path_filter"])
+def test_parsed_values_are_not_copied_through_the_plan(spark, name):
+    """Each line is read once: plans stay small and expressions of a parser are few."""
+    optimised = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(optimised) < 8000 and sum(optimised.count(x) for x in ("get_json_object(", "regexp_extract(", "regexp_extract_all(", "from_json(")) <= 8
+
+
+def test_filters_on_time_pass_below_bound_columns(spark, capsys):
+    engine.logql_range(stores.events_logs(spark, "/root/testdata/sf0.001", "logfmt"), 'sum by (event_type) (count_over_time({app="events"} | logfmt | took > 10ms [1h]))', 1704067200 * S, 1704672000 * S, 3600 * S).explain("formatted")
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in capsys.readouterr().out
