@@ -74,6 +74,33 @@ def quantile_over_time(points: DataFrame, keys: Sequence[str], grid: Grid, windo
     return fan_out(points, grid, window).groupBy(*keys, "k").agg(how.alias("v"))
 
 
+#: What a run of neighbouring points comes to, and how runs are joined: (of points, of runs).
+STATE = {
+    "n": (lambda: F.count(F.lit(1)), lambda: F.sum("n")),
+    "t0": (lambda: F.min("t"), lambda: F.min("t0")),
+    "t1": (lambda: F.max("t"), lambda: F.max("t1")),
+    "v0": (lambda: F.min_by("v", "t"), lambda: F.min_by("v0", "t0")),
+    "v1": (lambda: F.max_by("v", "t"), lambda: F.max_by("v1", "t1")),
+    "pv": (lambda: F.max_by("pv", "t"), lambda: F.max_by("pv", "t1")),
+    "pt": (lambda: F.max_by("pt", "t"), lambda: F.max_by("pt", "t1")),
+    "marks": (lambda: F.sum("mark"), lambda: F.sum("marks")),
+    "mark0": (lambda: F.min_by("mark", "t"), lambda: F.min_by("mark0", "t0")),
+}
+
+
+def states(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, names: Sequence[str]) -> DataFrame:
+    """(keys..., k, names...): STATE of each window.
+
+    Where the window is several whole steps, points are first reduced to one row
+    for each step, and only those are fanned out.
+    """
+    bucketed = buckets(points, grid, window)
+    if bucketed is None:
+        return fan_out(points, grid, window).groupBy(*keys, "k").agg(*[STATE[n][0]().alias(n) for n in names])
+    reduced = bucketed.groupBy(*keys, "b").agg(*[STATE[n][0]().alias(n) for n in names])
+    return fan_out_buckets(reduced, grid, window).groupBy(*keys, "k").agg(*[STATE[n][1]().alias(n) for n in names])
+
+
 def extrapolated(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, function: str, unit: int) -> DataFrame:
     """rate, increase and delta of each series: the change between the
     first and last point of a window, extrapolated to the window.
@@ -81,18 +108,18 @@ def extrapolated(points: DataFrame, keys: Sequence[str], grid: Grid, window: int
     unit: time units in a second.
     """
     counter = function in COUNTER
-    own = Window.partitionBy(*keys).orderBy("t")
-    before = F.lag("v").over(own)
-    fell = F.when(F.col("v") < before, before).otherwise(lit(0.0)) if counter else lit(0.0)
-    fanned = fan_out(points.withColumn("fell", fell), grid, window)
-    g = fanned.groupBy(*keys, "k").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by("v", "t").alias("v0"), F.max_by("v", "t").alias("v1"), (F.sum("fell") - F.min_by("fell", "t")).alias("resets")
-    )
+    names = ["n", "t0", "t1", "v0", "v1"]
+    change = F.col("v1") - F.col("v0")
+    if counter:  # what the counter fell to at each reset; a fall onto the window's first point happened before it
+        before = F.lag("v").over(Window.partitionBy(*keys).orderBy("t"))
+        points = points.withColumn("mark", F.when(F.col("v") < before, before).otherwise(lit(0.0)))
+        names += ["marks", "mark0"]
+        change = change + (F.col("marks") - F.col("mark0"))
+    g = states(points, keys, grid, window, names)
     g = g.where("n >= 2 and t1 > t0")
     span = ((F.col("t1") - F.col("t0")) / unit).cast("double")
     gap = span / (F.col("n") - 1)
     end = grid.time(F.col("k"))
-    change = F.col("v1") - F.col("v0") + F.col("resets")
     g = g.withColumn("change", change).withColumn("span", span).withColumn("gap", gap)
     to_start = ((F.col("t0") - (end - window)) / unit).cast("double")
     to_end = ((end - F.col("t1")) / unit).cast("double")
@@ -110,7 +137,7 @@ def instantaneous(points: DataFrame, keys: Sequence[str], grid: Grid, window: in
     """irate and idelta: of the last two points of each window."""
     own = Window.partitionBy(*keys).orderBy("t")
     paired = points.withColumn("pv", F.lag("v").over(own)).withColumn("pt", F.lag("t").over(own))
-    g = fan_out(paired, grid, window).groupBy(*keys, "k").agg(F.max("t").alias("t1"), F.max_by("v", "t").alias("v1"), F.max_by("pv", "t").alias("pv"), F.max_by("pt", "t").alias("pt"))
+    g = states(paired, keys, grid, window, ["v1", "pv", "pt", "t1"])
     g = g.where(F.col("pt") > grid.time(F.col("k")) - window)
     change = F.col("v1") - F.col("pv")
     if function == "irate":
@@ -124,8 +151,8 @@ def flips(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, funct
     before = F.lag("v").over(own)
     both_nan = F.isnan("v") & F.isnan(before)
     flip = (F.col("v") < before) & ~F.isnan(before) & ~F.isnan("v") if function == "resets" else (F.col("v") != before) & ~both_nan
-    flagged = points.withColumn("flip", F.coalesce(flip, F.lit(False)).cast("double"))
-    return fan_out(flagged, grid, window).groupBy(*keys, "k").agg((F.sum("flip") - F.min_by("flip", "t")).alias("v"))
+    flagged = points.withColumn("mark", F.coalesce(flip, F.lit(False)).cast("double"))
+    return states(flagged, keys, grid, window, ["marks", "mark0", "t0"]).select(*keys, "k", (F.col("marks") - F.col("mark0")).alias("v"))
 
 
 def regression(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, unit: int, ahead: float | None = None) -> DataFrame:

@@ -193,7 +193,8 @@ class Compiler:
         v = F.col("v")
         if name == "round":
             to = bounds[0] if bounds else lit(1.0)
-            v = F.when(F.isnan(v), v).otherwise(F.floor(v / to + 0.5).cast("double") * to)
+            steps = F.try_divide(v, to)  # beyond 2^53 steps every double is a whole number of them
+            v = F.when(F.isnan(v) | (F.abs(steps) >= 2**53), v).otherwise(F.coalesce(F.floor(steps + 0.5).cast("double") * to, lit(NAN)))
         else:
             low = bounds[0] if name != "clamp_max" else None
             high = bounds[-1] if name != "clamp_min" else None

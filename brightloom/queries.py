@@ -115,7 +115,7 @@ _prom("promql_irate", "irate(event_value[1d])", BOTH, _pairs(f"SELECT event_type
 _prom("promql_idelta", "idelta(event_value[1d])", BOTH, _pairs(f"SELECT event_type, user_id, ts, round(v1 - pv, 6) AS value FROM f WHERE pt > ts - {DAY}", DAY))
 _prom("promql_changes_resets", "changes(event_value[1d]) + resets(event_value[1d])", BOTH, _pairs("SELECT event_type, user_id, ts, CAST(coalesce(moved, 0) + coalesce(resets, 0) AS DOUBLE) AS value FROM f", DAY))
 _prom("promql_deriv", "deriv(event_value[1d])", BOTH, _pairs("SELECT event_type, user_id, ts, round(slope, 6) AS value FROM f WHERE n >= 2 AND slope IS NOT NULL", DAY))
-_prom("promql_predict_linear", "round(predict_linear(event_value[1d], 3600), 0.01)", BOTH, None)
+_prom("promql_predict_linear", "round(predict_linear(event_value[1d], 3600), 0.01)", BOTH, _pairs("SELECT event_type, user_id, ts, round(floor((level + slope * 3600) / 0.01 + 0.5) * 0.01, 6) AS value FROM f WHERE n >= 2 AND slope IS NOT NULL", DAY))
 _prom("promql_subquery", "max_over_time(sum by (event_type) (event_value)[6h:1h])", BOTH[:1], _latest(f", q AS (SELECT event_type, ts AS t, sum(v) AS v FROM l GROUP BY ALL) SELECT event_type, g.ts, round(max(q.v), 6) AS value FROM g JOIN q ON q.t > g.ts - {W6} AND q.t <= g.ts GROUP BY ALL").replace(_grid(START, END, HOUR), f"g0 AS (SELECT unnest(generate_series({START - W6}, {END}, {HOUR})) AS ts), g AS (SELECT ts FROM g0 WHERE ts >= {START})").replace("g.ts, arg_max(v, t) AS v, max(t) AS t FROM g JOIN", "g0.ts, arg_max(v, t) AS v, max(t) AS t FROM g0 JOIN").replace(f"s.t > g.ts - {HOUR} AND s.t <= g.ts GROUP BY event_type, user_id, g.ts", f"s.t > g0.ts - {HOUR} AND s.t <= g0.ts GROUP BY event_type, user_id, g0.ts"))
 _prom("promql_running_sum", "running_sum(sum by (event_type) (event_value))", BOTH[:1], _latest(", q AS (SELECT event_type, ts, sum(v) AS v FROM l GROUP BY ALL) SELECT event_type, ts, round(sum(v) OVER (PARTITION BY event_type ORDER BY ts), 6) AS value FROM q"))
 _prom("promql_absent", 'absent(event_value{event_type="signup"})', BOTH[:1], _latest("SELECT 'signup' AS event_type, g.ts, 1.0 AS value FROM g WHERE g.ts NOT IN (SELECT ts FROM l WHERE event_type = 'signup')"))
@@ -144,6 +144,19 @@ _prom("promql_label_join", 'sum by (both) (label_join(event_value, "both", "-",
 _prom("promql_histogram_quantile", 'histogram_quantile(0.5, label_replace(count(event_value <= 25), "le", "25", "", "") or label_replace(count(event_value <= 50), "le", "50", "", "") or label_replace(count(event_value), "le", "+Inf", "", ""))', (), _latest(""", b AS (SELECT ts, CAST(count(*) FILTER (WHERE v <= 25) AS DOUBLE) AS c1, CAST(count(*) FILTER (WHERE v <= 50) AS DOUBLE) AS c2, CAST(count(*) AS DOUBLE) AS n FROM l GROUP BY ts)
     SELECT ts, round(CASE WHEN c1 = 0 AND c2 = 0 THEN 'NaN'::DOUBLE WHEN c1 > 0 AND c1 >= n / 2 THEN 25 * (n / 2 / c1) WHEN c2 >= n / 2 THEN CASE WHEN c1 > 0 THEN 25 + 25 * ((n / 2 - c1) / (c2 - c1)) ELSE 50 * (n / 2 / c2) END WHEN c2 > 0 THEN 50 ELSE 25 END, 6) AS value FROM b"""))
 
+_prom("promql_at_start_end", "sum(sum_over_time(event_value[3d] @ start() offset -3d)) - sum(sum_over_time(event_value[3d] @ end() offset 1d))", (), f"WITH {_SAMPLES}, {_grid(START, END, HOUR)} SELECT ts, round((SELECT sum(v) FROM s WHERE t > {START} AND t <= {START + 3 * DAY}) - (SELECT sum(v) FROM s WHERE t > {END - 4 * DAY} AND t <= {END - DAY}), 6) AS value FROM g")
+_prom("promql_negative_offset", "sum(event_value offset -3h)", (), f"WITH {_SAMPLES}, {_grid(START, END, HOUR)}, l AS (SELECT event_type, user_id, g.ts, arg_max(v, t) AS v FROM g JOIN s ON s.t > g.ts + {2 * HOUR} AND s.t <= g.ts + {3 * HOUR} GROUP BY ALL) SELECT ts, round(sum(v), 6) AS value FROM l GROUP BY ts")
+_prom("promql_group_right", "sum by (event_type) (event_value) * on (event_type) group_right () event_value", BOTH, _latest(_TOTAL + " SELECT l.event_type, l.user_id, l.ts, round(l.v * a.v, 6) AS value FROM l JOIN a USING (event_type, ts)"))
+_prom("promql_group_left_include", 'event_value * on (event_type) group_left (kind) label_replace(count by (event_type) (event_value), "kind", "$1", "event_type", "(..).*")', (*BOTH, "kind"), _latest(", a AS (SELECT event_type, ts, count(*) AS n FROM l GROUP BY ALL) SELECT l.event_type, l.user_id, left(l.event_type, 2) AS kind, l.ts, round(l.v * a.n, 6) AS value FROM l JOIN a USING (event_type, ts)"))
+_prom("promql_sort_desc", "sort_desc(sum by (event_type) (event_value))", BOTH[:1], _latest("SELECT event_type, ts, round(sum(v), 6) AS value FROM l GROUP BY ALL"))
+_prom("promql_modulo_power_atan2", "(event_value % 7) + (event_value ^ 2) + (event_value atan2 (event_value + 1))", BOTH, _latest("SELECT event_type, user_id, ts, round(fmod(v, 7) + v * v + atan2(v, v + 1), 6) AS value FROM l"))
+_prom("promql_calendar", "year() * 1000000 + month() * 10000 + day_of_month() * 100 + day_of_year() + minute()", (), f"WITH {_grid(START, END, HOUR)}, d AS (SELECT ts, epoch_ms(CAST(ts AS BIGINT)) AS moment FROM g) SELECT ts, CAST(year(moment) * 1000000 + month(moment) * 10000 + day(moment) * 100 + dayofyear(moment) + minute(moment) AS DOUBLE) AS value FROM d")
+_prom("promql_hyperbolic", "sinh(event_value / 1000) + cosh(event_value / 1000) + tanh(event_value) + asinh(event_value) + acosh(event_value + 1) + atanh(event_value / 10000) + asin(event_value / 10000) + acos(event_value / 10000) + tan(event_value / 10000)", BOTH, _latest("SELECT event_type, user_id, ts, round(sinh(v / 1000) + cosh(v / 1000) + tanh(v) + asinh(v) + acosh(v + 1) + atanh(v / 10000) + asin(v / 10000) + acos(v / 10000) + tan(v / 10000), 6) AS value FROM l"))
+_prom("promql_logarithms", "exp(event_value / 100) + log2(event_value + 1) + log10(event_value + 1) + sgn(event_value - 50)", BOTH, _latest("SELECT event_type, user_id, ts, round(exp(v / 100) + log2(v + 1) + log10(v + 1) + sign(v - 50), 6) AS value FROM l"))
+_prom("promql_or_vector", "sum(event_value) or vector(0)", (), _latest("SELECT g.ts, round(coalesce(sum(l.v), 0), 6) AS value FROM g LEFT JOIN l ON l.ts = g.ts GROUP BY g.ts"))
+_prom("promql_round_large", "round(event_value * 1e300) / 1e300 + clamp_max(round(event_value / 0), 5)", BOTH, _latest("SELECT event_type, user_id, ts, round(v + 5, 6) AS value FROM l WHERE v > 0"))
+_prom("promql_implicit_step", "max_over_time(sum by (event_type) (event_value)[6h])", BOTH[:1], ORACLES["promql_subquery"])
+
 # LogQL
 _E = ("event_type",)
 W2 = 2 * HOUR
@@ -180,6 +193,21 @@ _log("logql_label_replace_join", 'label_join(label_replace(sum by (event_type) (
 _log("logql_aggregates", 'max(sum by (event_type) (count_over_time({app="events"}[2h]))) - min(sum by (event_type) (count_over_time({app="events"}[2h]))) + avg(sum by (event_type) (count_over_time({app="events"}[2h])))', (), _lq("count(*)", W2, tail=f"SELECT ts // {NS} AS ts, round(max(value) - min(value) + avg(value), 6) AS value FROM r GROUP BY ts"))
 
 
+_log("logql_without", 'sum without (app) (count_over_time({app="events"}[2h]))', _E, _lq("CAST(count(*) AS DOUBLE)", W2))
+_log("logql_range_without", 'sum_over_time({app="events"} | json | unwrap k [2h]) without (app, k)', _E, _lq("sum(k)", W2))
+_log("logql_group_left", 'sum by (event_type) (count_over_time({app="events"}[2h])) * on () group_left () sum(count_over_time({app="events"}[2h]))', _E, _lq("count(*)", W2, tail=f"SELECT event_type, ts // {NS} AS ts, CAST(value * sum(value) OVER (PARTITION BY ts) AS DOUBLE) AS value FROM r"))
+_log("logql_bool", 'sum by (event_type) (count_over_time({app="events"}[2h])) > bool 2', _E, _lq("CAST(count(*) > 2 AS INT) * 1.0", W2))
+_log("logql_modulo_power", 'sum by (event_type) (count_over_time({app="events"}[2h])) % 3 + sum by (event_type) (count_over_time({app="events"}[2h])) ^ 2', _E, _lq("CAST(count(*) % 3 + count(*) * count(*) AS DOUBLE)", W2))
+_log("logql_spread_aggregates", 'stddev(sum by (event_type) (count_over_time({app="events"}[2h]))) + stdvar(sum by (event_type) (count_over_time({app="events"}[2h]))) + count(sum by (event_type) (count_over_time({app="events"}[2h])))', (), _lq("count(*)", W2, tail=f"SELECT ts // {NS} AS ts, round(stddev_pop(value) + var_pop(value) + count(*), 6) AS value FROM r GROUP BY ts"))
+_log("logql_decolorize", 'sum by (event_type) (bytes_over_time({app="events"} | decolorize [2h]))', _E, _lq("CAST(sum(strlen(event_type) + 3 + strlen(CAST(CAST(k AS BIGINT) AS VARCHAR))) AS DOUBLE)", W2), line="colour")
+_log("logql_connectors", 'sum by (event_type) (count_over_time({app="events"} | json | k >= 90 or k < 10 and event_type != "click" [2h]))', _E, _lq("CAST(count(*) AS DOUBLE)", W2, where="(k >= 90 OR k < 10) AND event_type <> 'click'"))
+_log("logql_equal_number", 'sum by (event_type) (count_over_time({app="events"} | json | k == 7 [1d]))', _E, _lq("CAST(count(*) AS DOUBLE)", DAY, where="k = 7"))
+_log("logql_error", 'sum by (event_type) (count_over_time({app="events"} | json | __error__="JSONParserErr" [2h]))', _E, _lq("CAST(count(*) AS DOUBLE)", W2), line="text")
+_log("logql_not_pattern", 'sum by (event_type) (count_over_time({app="events"} !> "user <_> did <_> k=9<_>" [2h]))', _E, _lq("CAST(count(*) AS DOUBLE)", W2, where="NOT (k = 9 OR (k >= 90 AND k < 100))"), line="text")
+_log("logql_unwrap_rate", 'rate({app="events"} | json | unwrap k [2h]) by (event_type)', _E, _lq("count(*) / 7200.0", W2))
+_log("logql_template_functions", 'sum by (event_type) (bytes_over_time({app="events"} | line_format "{{.event_type | upper | trunc 3}}{{ .none | default `none` }}{{ .event_type | replace `e` `333` }}{{ substr 1 3 .event_type }}" [2h]))', _E, _lq("CAST(sum(3 + 4 + strlen(replace(event_type, 'e', '333')) + 2) AS DOUBLE)", W2))
+
+
 def logql_select(spark: SparkSession, d: str) -> DataFrame:
     rows = engine.logql_range(stores.events_logs(spark, d), '{app="events"} | json | k > 90', START * NS, END * NS, limit=None)
     return rows.select(F.col("labels")["event_type"].alias("event_type"), "ts_ns", "line")

@@ -177,13 +177,14 @@ def lineitem_metrics(spark: SparkSession, sf_dir: str) -> WideStore:
 def events_logs(spark: SparkSession, sf_dir: str, line: str = "json") -> LogStore:
     """events as log rows of the streams {app="events", event_type=...}.
 
-    line: json (the column props), logfmt, or text.
+    line: json (the column props), logfmt, text, or colour (text with escape sequences).
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k, at = F.col("k"), F.col("ns")
     body = {
         "json": F.col("props"),
         "logfmt": F.concat(F.lit("type="), "event_type", F.lit(" user="), F.col("user_id").cast("string"), F.lit(" took="), k, F.lit("ms size="), k, F.lit("KiB")),
+        "colour": F.concat(F.lit("\x1b[31m"), "event_type", F.lit("\x1b[0m k="), k),
         "text": F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" did "), "event_type", F.lit(" k="), k),
     }[line]
     e = e.withColumn("ns", micros("ts") * 1000)
