@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from brightloom.lang import logql as logql_ast
 from brightloom.lang import promql as promql_ast
 from brightloom.lang.tokens import QueryError
 from brightloom.plans import logql, promql
+from brightloom.sources import wire
 
 MAX_POINTS = 11_000
 INSTANT_LOG_LOOKBACK_NS = 6 * 3600 * 1_000_000_000
@@ -57,6 +59,19 @@ def logql_instant(store: object, query: str, at_ns: int, limit: int | None = 100
     return logql.Compiler(store, at_ns, at_ns, 1, instant=True).compile(e)
 
 
+def remote_read(store: object, start_ms: int, end_ms: int, matchers: list[tuple[str, str, str]]) -> DataFrame:
+    """(labels, samples, histograms) of each series that matches, points in time order: a query of the read protocol."""
+    points = store.points(matchers, start_ms, end_ms)
+    df = points.df.groupBy(*points.keys).agg(F.sort_array(F.collect_list(F.struct(F.col("t").alias("ts"), "v"))).alias("samples"))
+    native = store.native(matchers, start_ms, end_ms)
+    if native is None:
+        df = df.withColumn("histograms", F.lit(None).cast(f"array<struct<ts:bigint,h:{wire.H_DDL}>>"))
+    else:
+        held = native.df.groupBy(*native.keys).agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("ts"), F.col("v").alias("h"))), lambda a, b: (a["ts"] - b["ts"]).cast("int")).alias("histograms"))
+        df = df.join(held, native.keys, "full")
+    return points.attach(df).select("labels", "samples", "histograms")
+
+
 def spelt(v: float) -> str:
     """A value as the API spells it: shortest fixed notation, NaN, +Inf, -Inf."""
     if v != v:

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 HISTOGRAM = "struct<schema:int,sum:double,count:double,zero_threshold:double,zero_count:double,pos_spans:array<struct<offset:int,length:int>>,pos_buckets:array<double>,neg_spans:array<struct<offset:int,length:int>>,neg_buckets:array<double>>"
 
+_FIELDS = ("schema", "sum", "count", "zero_threshold", "zero_count", "pos_spans", "pos_buckets", "neg_spans", "neg_buckets")
+
 
 def count(h: str) -> Column:
     return F.col(h)["count"]
@@ -100,6 +102,64 @@ def variance_of(h: dict | None) -> float:
     return sum(c * (middle(a, b) - mean) ** 2 for a, b, c in bounds(h)) / h["count"]
 
 
+def counts_by_index(h: dict, schema: int) -> tuple[dict[int, float], dict[int, float]]:
+    """Positive and negative buckets at a resolution that is not finer than the histogram's own."""
+    out = []
+    for spans, buckets in (("pos_spans", "pos_buckets"), ("neg_spans", "neg_buckets")):
+        found: dict[int, float] = {}
+        for i, c in zip(indexes(h[spans]), h[buckets]):
+            i = -(-i >> (h["schema"] - schema))  # bucket i ends at base^i; wider ones end at every second, fourth ... bound
+            found[i] = found.get(i, 0.0) + c
+        out.append(found)
+    return out[0], out[1]
+
+
+def listed(schema: int, total: float, n: float, threshold: float, zeros: float, positive: dict[int, float], negative: dict[int, float]) -> dict:
+    """A histogram of these buckets, each a span of its own."""
+
+    def spans(found: dict[int, float]) -> list[dict]:
+        at, out = 0, []
+        for i in sorted(found):
+            out.append({"offset": i - at, "length": 1})
+            at = i + 1
+        return out
+
+    return {"schema": schema, "sum": total, "count": n, "zero_threshold": threshold, "zero_count": zeros, "pos_spans": spans(positive), "pos_buckets": [positive[i] for i in sorted(positive)], "neg_spans": spans(negative), "neg_buckets": [negative[i] for i in sorted(negative)]}
+
+
+def weighted(parts: list[tuple[dict, float]]) -> dict | None:
+    """The sum of histograms times weights, at the least resolution among them."""
+    parts = [(h, w) for h, w in parts if h is not None]
+    if not parts:
+        return None
+    schema = min(h["schema"] for h, _ in parts)
+    sides: tuple[dict[int, float], dict[int, float]] = {}, {}
+    for h, w in parts:
+        for side, found in zip(sides, counts_by_index(h, schema)):
+            for i, c in found.items():
+                side[i] = side.get(i, 0.0) + w * c
+    total = lambda name: float(sum(w * h[name] for h, w in parts))
+    return listed(schema, total("sum"), total("count"), max(h["zero_threshold"] for h, _ in parts), total("zero_count"), *sides)
+
+
+def increase_of(points: list[tuple[int, dict]], start: int, end: int, unit: int, per_second: bool, counter: bool) -> dict | None:
+    """The change of a histogram over a window (start, end], extrapolated to it; counters begin anew where a count falls."""
+    points = sorted(points, key=lambda p: p[0])
+    if len(points) < 2 or points[-1][0] == points[0][0]:
+        return None
+    parts = [(points[-1][1], 1.0), (points[0][1], -1.0)]
+    if counter:
+        parts += [(a, 1.0) for (_, a), (_, b) in zip(points, points[1:]) if b["count"] < a["count"]]
+    span = (points[-1][0] - points[0][0]) / unit
+    gap = span / (len(points) - 1)
+    edges = [(points[0][0] - start) / unit, (end - points[-1][0]) / unit]
+    factor = (span + sum(gap / 2 if x >= gap * 1.1 else x for x in edges)) / span
+    if per_second:
+        factor /= (end - start) / unit
+    change = weighted(parts)
+    return weighted([(change, factor)])
+
+
 def _dicts(h: pd.DataFrame) -> list[dict]:
     return h.to_dict("records")
 
@@ -128,6 +188,37 @@ def deviation(h: str) -> Column:
     return F.sqrt(variance(h))
 
 
+def _plain(h: object) -> dict:
+    """A histogram as workers get it, as plain lists and dictionaries."""
+    h = h.asDict(recursive=True) if hasattr(h, "asDict") else dict(h)
+    return {k: list(x) if k.endswith(("spans", "buckets")) and x is not None else x for k, x in h.items()}
+
+
+def merged(hs: Column, average: bool = False) -> Column:
+    """The sum (or mean) of an array of histograms."""
+
+    @F.pandas_udf(HISTOGRAM)
+    def of(batch: pd.Series) -> pd.DataFrame:
+        rows = [weighted([(_plain(h), 1.0 / len(a) if average else 1.0) for h in a]) or {} for a in batch]
+        return pd.DataFrame(rows, columns=list(_FIELDS))
+
+    return of(hs)
+
+
+def increased(points: Column, end: Column, window: int, unit: int, per_second: bool, counter: bool) -> Column:
+    """increase_of an array of (t, h) in the window before `end`; null where there are fewer than two."""
+
+    @F.pandas_udf(HISTOGRAM)
+    def of(batch: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, e in zip(batch, ends):
+            own = [(p["t"], _plain(p["v"])) for p in a]
+            rows.append(increase_of(own, e - window, e, unit, per_second, counter) or {})
+        return pd.DataFrame(rows, columns=list(_FIELDS))
+
+    return of(points, end)
+
+
 def latest_version(table: DataFrame) -> DataFrame:
     """One histogram for each series and time: that of the highest version."""
     return table.groupBy("team_id", "id", "ts_ms").agg(F.max_by("h", "version").alias("h"))

@@ -13,9 +13,10 @@ from brightloom.functions import labels as L
 from brightloom.functions.ieee import NAN, lit
 from brightloom.lang import promql as ast
 from brightloom.lang.tokens import QueryError
+from brightloom.operators import histograms as H
 from brightloom.operators import vectors as VO
 from brightloom.operators import windows as W
-from brightloom.plans.grid import Grid
+from brightloom.plans.grid import Grid, fan_out
 from brightloom.sources.stores import Points
 
 UNIT = 1000  # the grid is in milliseconds
@@ -180,9 +181,17 @@ class Compiler:
         if name == "running_sum":
             return self.nameless(VO.running_sum(self.eval(args[0], grid)))
         if name == "histogram_quantile":
-            return VO.histogram_quantile(self.eval(args[1], grid), self.constant(args[0], grid))
+            q = self.constant(args[0], grid)
+            classic = VO.histogram_quantile(self.eval(args[1], grid), q)
+            native = self.histograms(args[1], grid)
+            return classic if native is None else classic.unionByName(native.select("labels", "ts", H.quantile("h", q).alias("v")))
         if name.startswith("histogram_"):
-            raise QueryError(f"{name} works on native histograms; see brightloom.operators.histograms")
+            native = self.histograms(args[-1], grid)
+            if native is None:  # floats are no histograms
+                return self.spread(Scalar.number(NAN), grid).where(F.lit(False))
+            read = {"count": H.count, "sum": H.total, "avg": H.average, "stddev": H.deviation, "stdvar": H.variance}
+            v = H.fraction("h", *(self.constant(a, grid) for a in args[:2])) if name == "histogram_fraction" else read[name.removeprefix("histogram_")]("h")
+            return native.select("labels", "ts", F.coalesce(v, lit(NAN)).alias("v"))
         vector = self.nameless(self.eval(args[0], grid))
         if name in MATH:
             return vector.withColumn("v", MATH[name](F.col("v")))
@@ -205,6 +214,44 @@ class Compiler:
                     v = F.when(F.isnan(v) | F.isnan(b), lit(NAN)).otherwise(f(v, b))
         return vector.select("labels", "ts", v.alias("v"))
 
+    def histograms(self, e: object, grid: Grid) -> DataFrame | None:
+        """(labels, ts, h) of an expression over native histograms: a selector, rate, increase or delta of one, and sums, averages and multiples of these; None for any other or where the store has none."""
+        match e:
+            case ast.Selector() if e.range_ns is None:
+                at, pinned = self.place(e, grid)
+                points = self.store.native(e.matchers, at.start - self.lookback + 1, at.start + at.last * at.step)
+                if points is None:
+                    return None
+                found = self.finish(W.latest(points.df, points.keys, at, self.lookback), points, grid, pinned, False)
+            case ast.Call(name="rate" | "increase" | "delta") if isinstance(e.args[0], ast.Selector):
+                s = e.args[0]
+                at, pinned = self.place(s, grid)
+                span = s.range_ns // 1_000_000
+                points = self.store.native(s.matchers, at.start - span + 1, at.start + at.last * at.step)
+                if points is None:
+                    return None
+                held = fan_out(points.df, at, span).groupBy(*points.keys, "k").agg(F.collect_list(F.struct("t", "v")).alias("points")).where("size(points) > 1")
+                found = held.select(*points.keys, "k", H.increased(F.col("points"), at.time(F.col("k")), span, UNIT, e.name == "rate", e.name != "delta").alias("v")).where("v.count is not null")
+                found = self.finish(found, points, grid, pinned, False)
+            case ast.Aggregate(op="sum" | "avg"):
+                inner = self.histograms(e.expr, grid)
+                if inner is None:
+                    return None
+                held = VO.grouped(inner.withColumnRenamed("h", "v"), e.names, e.without, F.collect_list("v"))
+                return held.select("labels", "ts", H.merged(F.col("v"), e.op == "avg").alias("h"))
+            case ast.Binary(op="*" | "/"):
+                vector, factor = (e.left, e.right) if not isinstance(e.left, ast.Num) else (e.right, e.left)
+                inner = self.histograms(vector, grid) if isinstance(factor, ast.Num) and (e.op == "*" or factor is e.right) else None
+                if inner is None:
+                    return None
+                f = lit(factor.value if e.op == "*" else 1 / factor.value if factor.value else NAN)
+                scale = lambda name: F.transform(F.col(f"h.{name}"), lambda x: x * f)
+                h = F.col("h").withField("count", F.col("h.count") * f).withField("sum", F.col("h.sum") * f).withField("zero_count", F.col("h.zero_count") * f)
+                return inner.select("labels", "ts", h.withField("pos_buckets", scale("pos_buckets")).withField("neg_buckets", scale("neg_buckets")).alias("h"))
+            case _:
+                return None
+        return found.select("labels", "ts", F.col("v").alias("h"))
+
     def constant(self, e: object, grid: Grid) -> float:
         s = self.eval(e, grid)
         if s.constant is None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brightloom.functions import labels as L
 from brightloom.functions import parsers
+from brightloom.sources import wire
 
 INTERVAL_MS = 15_000
 SEVERITY_KEYS = ("detected_level", "level", "severity", "severity_text", "lvl")
@@ -95,6 +96,35 @@ def push_entries(bodies: DataFrame) -> DataFrame:
     return values.unionByName(entries)
 
 
+_PAIRS = r'([a-zA-Z_][a-zA-Z0-9_.]*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+
+
+def binary_push_entries(bodies: DataFrame) -> DataFrame:
+    """(labels, ts_ns, line, metadata) from binary push bodies in column `body`; an unreadable body fails the batch."""
+    rows = wire.pushed(bodies)
+    spelt = F.regexp_extract_all("labels", F.lit(_PAIRS), F.lit(1)), F.regexp_extract_all("labels", F.lit(_PAIRS), F.lit(2))
+    labels = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("push body: "), "error")).cast("map<string,string>")).otherwise(F.map_from_arrays(*spelt))
+    return rows.select(labels.alias("labels"), "ts_ns", "line", F.coalesce("metadata", L.empty()).alias("metadata"))
+
+
+def write_tables(bodies: DataFrame, team_id: int, interval_ms: int = INTERVAL_MS) -> dict[str, DataFrame]:
+    """What the write requests in column `body` add to each table: series, samples, histograms, exemplars, metadata, and errors."""
+    rows = wire.written(bodies).withColumn("team_id", F.lit(team_id).cast("bigint"))
+    none = bodies.sparkSession.createDataFrame([], "team_id bigint, id bigint")
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    points = of("sample").select("team_id", "labels", "ts_ms", "v", "is_stale", "arrival_seq")
+    native = of("histogram").select("team_id", "labels", "ts_ms", "h")
+    every = points.select("team_id", "labels", "ts_ms", F.lit(0.0).alias("v"), F.lit(True).alias("is_stale")).unionByName(native.select("team_id", "labels", "ts_ms", F.lit(0.0).alias("v"), F.lit(True).alias("is_stale")))
+    return {
+        "series": new_series(every, none, interval_ms),
+        "samples": samples(points, interval_ms),
+        "histograms": histograms(native, interval_ms),
+        "exemplars": of("exemplar").select("team_id", series_id(F.col("labels")).alias("id"), "ts_ms", "v", F.col("exemplar").alias("labels")),
+        "metadata": of("metadata").select("team_id", "family", "type", "unit", "help", F.col("arrival_seq").alias("updated_at_ms")),
+        "errors": rows.where(F.col("error").isNotNull()).select("arrival_seq", "error"),
+    }
+
+
 def log_rows(entries: DataFrame, team_id: int, observed_ns: Column, retention_ms: int = 31 * 86_400_000) -> DataFrame:
     """Normalised log rows with their streams, from (labels, ts_ns, line, metadata).
 

@@ -87,14 +87,15 @@ class MetricStore:
             found = found.join(ids.distinct(), "id", "left_semi")
         return found
 
-    def check(self, found: DataFrame) -> None:
-        """Fails where more series are selected than allowed; reads no more than one too many."""
-        if found.limit(self.max_series + 1).count() > self.max_series:
-            raise ValueError(f"more than {self.max_series} series selected")
+    def limited(self, found: DataFrame) -> DataFrame:
+        """The selected series; the query fails where there are more than max_series, having read no more than one too many."""
+        n = F.count(F.lit(1))
+        checked = found.limit(self.max_series + 1).agg(F.when(n > self.max_series, F.raise_error(F.lit(f"more than {self.max_series} series selected")).cast("bigint")).otherwise(n).alias("n"))
+        return found.where(checked.scalar() >= 0)
 
     def points(self, matchers: Matchers, start: int, end: int) -> Points:
         """Samples with start <= t <= end."""
-        found = self.series(matchers)
+        found = self.limited(self.series(matchers))
         samples = self.samples.where(F.col("ts_ms").between(start, end))
         names = [v for n, op, v in matchers if n == L.NAME and op == "="]
         for v in names:
@@ -104,6 +105,15 @@ class MetricStore:
         df = samples.select("id", F.col("ts_ms").alias("t"), "v", F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
         return Points(df, ["id"], lambda x: x.join(found, "id").drop("id"))
 
+    def native(self, matchers: Matchers, start: int, end: int) -> Points | None:
+        """Native histograms with start <= t <= end, in place of the values; None without such a table."""
+        if self.histograms is None:
+            return None
+        found = self.limited(self.series(matchers))
+        latest = self.histograms.where(F.col("ts_ms").between(start, end)).groupBy("id", "ts_ms").agg(F.max_by("h", "version").alias("v"))
+        df = latest.join(found.select("id"), "id", "left_semi").select("id", F.col("ts_ms").alias("t"), "v", F.lit(False).alias("is_stale"))
+        return Points(df, ["id"], lambda x: x.join(found, "id").drop("id"))
+
 
 class WideStore:
     """A table whose rows are samples, with labels as columns.
@@ -136,11 +146,17 @@ class WideStore:
         keys = list(self.labels)
         return Points(df, keys, lambda x: x.withColumn("labels", self.label_map()).drop(*keys))
 
+    def native(self, matchers: Matchers, start: int, end: int) -> Points | None:
+        return None
+
 
 class LogStore:
     """Log rows (ts_ns, observed_ns, line, stream, resource, fields) of one tenant.
 
     time: a stored timestamp column of `rows`, where there is one, for skipping.
+    stats: counts and bytes of each stream and minute (bucket_ms, log_count,
+    byte_count, stream, resource), from which queries over whole minutes that look at
+    streams alone are answered; a row then counts at the end of its minute.
     """
 
     def __init__(self, rows: DataFrame, stats: DataFrame | None = None, time: str | None = None) -> None:
@@ -152,7 +168,8 @@ class LogStore:
         own = lambda df: df if df is None or tenant is None else df.where(F.col("team_id") == tenant)
         latest = own(streams).groupBy("team_id", "stream_id").agg(F.max_by(F.struct("labels", "resource_attributes"), "updated_at_ms").alias("s"))
         rows = own(logs).join(latest, ["team_id", "stream_id"])
-        return cls(rows.select("ts_ns", "observed_ns", "line", F.col("s.labels").alias("stream"), F.col("s.resource_attributes").alias("resource"), "fields", "stream_id"), own(stats))
+        minutes = None if stats is None else own(stats).join(latest, ["team_id", "stream_id"]).select("bucket_ms", "log_count", "byte_count", F.col("s.labels").alias("stream"), F.col("s.resource_attributes").alias("resource"))
+        return cls(rows.select("ts_ns", "observed_ns", "line", F.col("s.labels").alias("stream"), F.col("s.resource_attributes").alias("resource"), "fields", "stream_id"), minutes)
 
     def select(self, matchers: Matchers, start_ns: int, end_ns: int) -> DataFrame:
         """Rows with start_ns < ts_ns <= end_ns whose stream labels match."""
@@ -160,8 +177,17 @@ class LogStore:
         if self.time:
             df = df.where((F.col(self.time) >= moment(df, self.time, start_ns // 1000)) & (F.col(self.time) <= moment(df, self.time, -(-end_ns // 1000))))
         df = df.where((F.col("ts_ns") > start_ns) & (F.col("ts_ns") <= end_ns))
+        return narrowed(df, self.stream_predicate(matchers))
+
+    def select_minutes(self, matchers: Matchers, start_ns: int, end_ns: int) -> DataFrame:
+        """Minutes that end in start_ns < t <= end_ns of the streams that match."""
+        end = (F.col("bucket_ms") + 60_000) * 1_000_000
+        return narrowed(self.stats.where((end > start_ns) & (end <= end_ns)), self.stream_predicate(matchers)).withColumn("t", end)
+
+    @staticmethod
+    def stream_predicate(matchers: Matchers) -> Column | None:
         both = lambda n: F.coalesce(F.nullif(L.aliased(F.col("stream"), n), F.lit("")), F.nullif(F.col("resource")[n], F.lit("")), F.lit(""))
-        return narrowed(df, predicate(matchers, both))
+        return predicate(matchers, both)
 
 
 def events_metrics(spark: SparkSession, sf_dir: str) -> WideStore:

@@ -261,8 +261,10 @@ def test_metadata(spark):
 def test_series_limit(spark):
     store = metric_store(spark, {"a": [({"x": str(i)}, [(0, 1)]) for i in range(5)]})
     store.max_series = 3
-    with pytest.raises(ValueError):
-        store.check(store.series([]))
+    with pytest.raises(Exception, match="more than 3 series"):
+        engine.promql_instant(store, "a", 0).collect()
+    store.max_series = 5
+    assert engine.promql_instant(store, "a", 0).count() == 5
 
 
 def test_logfmt_last_key_wins(spark):
