@@ -11,7 +11,7 @@ Candidates: equal fingerprints are one point. Each of `tables` bucket keys takes
 bucket are compared. Both are parameters and depend on nothing else, so whether a
 pair is found depends on the pair alone, not on what else the corpus holds. A pair
 at b of 256 bits is found with probability 1 - (1 - (1 - b/256)^key_bits)^tables
-at least: 1.00 at 26 bits, 0.97 at 42 and 0.83 at the radius of 52. Buckets grow with
+at least: 1.00 at 26 bits, 0.99 at 42 and 0.91 at the radius of 52. Buckets grow with
 the corpus: the comparisons of 14 bits are cheap to some 10^8 points; beyond that
 more bits (and tables for the same recall) cost less.
 
@@ -57,7 +57,7 @@ RADIUS = 52
 SKETCH = 2048
 LONG_WORD = 5
 KEY_BITS = 14
-TABLES = 41
+TABLES = 56
 #: Points of a bucket that are one unit of work.
 CELL = 1 << 18
 #: From so many points on, pivots come before all pairs.
