@@ -154,7 +154,7 @@ _prom("promql_calendar", "year() * 1000000 + month() * 10000 + day_of_month() *
 _prom("promql_hyperbolic", "sinh(event_value / 1000) + cosh(event_value / 1000) + tanh(event_value) + asinh(event_value) + acosh(event_value + 1) + atanh(event_value / 10000) + asin(event_value / 10000) + acos(event_value / 10000) + tan(event_value / 10000)", BOTH, _latest("SELECT event_type, user_id, ts, round(sinh(v / 1000) + cosh(v / 1000) + tanh(v) + asinh(v) + acosh(v + 1) + atanh(v / 10000) + asin(v / 10000) + acos(v / 10000) + tan(v / 10000), 6) AS value FROM l"))
 _prom("promql_logarithms", "exp(event_value / 100) + log2(event_value + 1) + log10(event_value + 1) + sgn(event_value - 50)", BOTH, _latest("SELECT event_type, user_id, ts, round(exp(v / 100) + log2(v + 1) + log10(v + 1) + sign(v - 50), 6) AS value FROM l"))
 _prom("promql_or_vector", "sum(event_value) or vector(0)", (), _latest("SELECT g.ts, round(coalesce(sum(l.v), 0), 6) AS value FROM g LEFT JOIN l ON l.ts = g.ts GROUP BY g.ts"))
-_prom("promql_round_large", "round(event_value * 1e300) / 1e300 + clamp_max(round(event_value / 0), 5)", BOTH, _latest("SELECT event_type, user_id, ts, round(v + 5, 6) AS value FROM l WHERE v > 0"))
+_prom("promql_round_large", "round((event_value + 1) * 1e300) / 1e300 + clamp_max(round((event_value + 1) / 0), 5)", BOTH, _latest("SELECT event_type, user_id, ts, round(v + 6, 6) AS value FROM l"))
 _prom("promql_implicit_step", "max_over_time(sum by (event_type) (event_value)[6h])", BOTH[:1], ORACLES["promql_subquery"])
 
 # LogQL
@@ -254,14 +254,17 @@ def ingest_bucket_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_new_series(spark: SparkSession, d: str) -> DataFrame:
-    known = spark.createDataFrame([], "team_id bigint, id bigint")
-    return ingest.new_series(_event_batch(spark, d), known).select(F.col("labels")["event_type"].alias("event_type"), "min_time_ms", "max_time_ms")
+    batch = _event_batch(spark, d)
+    known = ingest.new_series(batch.where("labels['event_type'] in ('click', 'error')"), spark.createDataFrame([], "team_id bigint, id bigint"))
+    return ingest.new_series(batch, known).select(F.col("labels")["event_type"].alias("event_type"), "min_time_ms", "max_time_ms")
 
 
 def ingest_severity(spark: SparkSession, d: str) -> DataFrame:
-    """Severity of lines that are the events' type as a word of a sentence."""
+    """Severity of lines that name it in JSON, in a key of logfmt, as a word of a sentence, or not at all."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select(ingest.severity(F.concat(F.lit("an "), "event_type", F.lit(": "), "props")).alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.col("event_type")
+    line = F.when(kind == "click", '{"k": 1, "level": "WARN"}').when(kind == "view", "lvl=debug error x").when(kind == "purchase", "[fatal] info").when(kind == "signup", '{"severity": "unheard"} of errors').otherwise(F.concat(F.lit("an "), kind, F.lit(": "), "props"))
+    return e.select(ingest.severity(line).alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def logs_minute_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -288,8 +291,8 @@ ORACLES |= {
     "meta_log_labels": "SELECT unnest(['app', 'detected_level', 'event_type', 'level', 'service.name', 'service_name', 'severity_text', 'span_id', 'trace_id']) AS name",
     "meta_log_label_values": "SELECT DISTINCT event_type AS value FROM events",
     "ingest_bucket_last_wins": "SELECT (epoch_us(ts) // 1000) // 900000 * 900000 AS ts_ms, round(arg_max(value, event_id), 6) AS value, max(event_id) AS arrival_seq FROM events GROUP BY event_type, 1",
-    "ingest_new_series": "SELECT event_type, min((epoch_us(ts) // 1000) // 15000 * 15000) AS min_time_ms, max((epoch_us(ts) // 1000) // 15000 * 15000) AS max_time_ms FROM events GROUP BY event_type",
-    "ingest_severity": "SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'unknown' END AS severity, count(*) AS n FROM events GROUP BY 1",
+    "ingest_new_series": "SELECT event_type, min((epoch_us(ts) // 1000) // 15000 * 15000) AS min_time_ms, max((epoch_us(ts) // 1000) // 15000 * 15000) AS max_time_ms FROM events WHERE event_type NOT IN ('click', 'error') GROUP BY event_type",
+    "ingest_severity": "SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warn' WHEN 'view' THEN 'debug' WHEN 'purchase' THEN 'fatal' ELSE 'unknown' END AS severity, count(*) AS n FROM events GROUP BY 1",
     "logs_minute_rollup": "SELECT event_type, (epoch_us(ts) // 60000000) * 60000 AS bucket_ms, count(*) AS log_count, CAST(sum(strlen(props)) AS BIGINT) AS byte_count FROM events GROUP BY ALL",
     "native_histogram_totals": f"SELECT event_type, (epoch_us(ts) // 1000) // {DAY} * {DAY} AS ts, CAST(count(*) AS DOUBLE) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

@@ -299,3 +299,49 @@ def test_parsed_values_are_not_copied_through_the_plan(spark, name):
 def test_filters_on_time_pass_below_bound_columns(spark, capsys):
     engine.logql_range(stores.events_logs(spark, "/root/testdata/sf0.001", "logfmt"), 'sum by (event_type) (count_over_time({app="events"} | logfmt | took > 10ms [1h]))', 1704067200 * S, 1704672000 * S, 3600 * S).explain("formatted")
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in capsys.readouterr().out
+
+
+def test_write_requests_and_broken_bodies(spark):
+    import struct
+
+    from brightloom.sources import wire
+
+    h = {"schema": 1, "sum": 3.5, "count": 4.0, "zero_threshold": 0.001, "zero_count": 1.0, "pos_spans": [{"offset": -2, "length": 2}], "pos_buckets": [1.0, 2.0], "neg_spans": [], "neg_buckets": []}
+    integers = wire.put(1, 6) + wire.put(3, 2.0) + wire.put(4, 4) + wire.put(6, 1) + wire.put(11, wire.put(1, 0) + wire.put(2, 3)) + wire.put(12, b"".join(map(wire.put_varint, (4, 1, 4)))) + wire.put(15, 77)
+    stale = wire.put(2, wire.put_varint(1 << 3 | 1) + wire.STALE + wire.put(2, 20))
+    series = wire.put_series({"__name__": "m", "a": "b"}, [(10, 1.5), (-5, math.inf)], [(30, h)]) + stale + wire.put(4, integers)
+    good = wire.packed(wire.put(1, series) + wire.put(3, wire.put(1, 1) + wire.put(2, "m") + wire.put(4, "help") + wire.put(5, "s")) + wire.put(99, "unknown"))
+    bodies = [good, b"", b"\xff\xff", wire.packed(b"\x0a\x7f"), good[:-3], None, wire.packed(wire.put(1, 5)), wire.packed(wire.put(1, wire.put(2, wire.put(1, "x"))))]
+    rows = wire.written(spark.createDataFrame([(b, i) for i, b in enumerate(bodies)], "body binary, arrival_seq long")).collect()
+    own = [r for r in rows if r["arrival_seq"] >> 24 == 0]
+    assert [(r["kind"], r["ts_ms"], r["is_stale"]) for r in own] == [("sample", 10, False), ("sample", -5, False), ("histogram", 30, None), ("sample", 20, True), ("histogram", 77, None), ("metadata", None, None)]
+    assert own[2]["h"].asDict(recursive=True) == h and own[4]["h"]["pos_buckets"] == [2.0, 1.0, 3.0] and own[4]["h"]["schema"] == 2 and own[5]["type"] == "counter" and own[0]["labels"] == {"__name__": "m", "a": "b"}
+    assert sorted(r["arrival_seq"] >> 24 for r in rows if r["error"]) == [1, 2, 3, 4, 6, 7]
+    tables = ingest.write_tables(spark.createDataFrame([(good, 0)], "body binary, arrival_seq long"), 1)
+    assert {n: t.count() for n, t in tables.items()} == {"series": 1, "samples": 2, "histograms": 2, "exemplars": 0, "metadata": 1, "errors": 0}
+    assert sorted((r["ts_ms"], r["is_stale"]) for r in tables["samples"].collect()) == [(-15_000, False), (0, True)]  # the later of two in one interval
+    store = stores.MetricStore(tables["series"], tables["samples"], 1, tables["histograms"])
+    answer = wire.unpacked(wire.read_response([engine.remote_read(store, -20_000, 20_000, [("__name__", "=", "m")])]))
+    (result,) = [x for _, x in wire.fields(answer)]
+    (one,) = [x for _, x in wire.fields(result)]
+    assert [n for n, _ in wire.fields(one)] == [1, 1, 2, 2, 4]
+    request = wire.packed(wire.put(1, wire.put(1, 5) + wire.put(2, 9) + wire.put(3, wire.put(1, 2) + wire.put(2, "a") + wire.put(3, "b.*"))))
+    assert wire.read_request(request) == [(5, 9, [("a", "=~", "b.*")])] and struct.unpack("<d", wire.STALE)[0] != 0
+
+
+def test_histogram_rates_and_sums(spark):
+    def h(n, schema=0):
+        return {"schema": schema, "sum": float(n), "count": 2.0 * n, "zero_threshold": 0.0, "zero_count": 0.0, "pos_spans": [{"offset": 1, "length": 2}], "pos_buckets": [float(n), float(n)], "neg_spans": [], "neg_buckets": []}
+
+    store = metric_store(spark, {"r": [({"i": "a"}, [(0, 0)]), ({"i": "b"}, [(0, 0)])]})
+    rows = [(1, 0, t * 15_000, t, h(10 * t if t < 3 else 10 * (t - 3))) for t in range(5)] + [(1, 1, t * 15_000, t, h(100, 1)) for t in range(5)]
+    store.histograms = spark.createDataFrame(rows, stores.HISTOGRAMS)
+    # the first series counts 0, 20, 40, begins anew at 0, then 20: 60 in the minute from its first to its last point
+    got = dict((r[0], r[2]) for r in values(engine.promql_instant(store, "histogram_count(increase(r[61s]))", 60_000), "i"))
+    assert got["a"] == pytest.approx(60 * 61 / 60, rel=0.02) and got["b"] == 0
+    assert values(engine.promql_instant(store, "histogram_count(sum(r))", 30_000)) == [(30_000, 240.0)]
+    assert values(engine.promql_instant(store, "histogram_sum(avg(r) * 2)", 30_000)) == [(30_000, 120.0)]
+    (q,) = values(engine.promql_instant(store, "histogram_quantile(0.5, sum(r))", 30_000))
+    assert 1 <= q[1] <= 4 and engine.promql_instant(store, "histogram_count(r + r)", 30_000).count() == 0
+    # 100 in (1, 1.41] and 100 in (1.41, 2] at the finer resolution are 200 in (1, 2] at the coarser; the coarser's own lie in (1, 2] and (2, 4]
+    assert H.counts_by_index(h(100, 1), 0) == ({1: 200.0}, {})

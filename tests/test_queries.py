@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from brightloom.queries import ORACLES, QUERIES
+from brightloom.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
