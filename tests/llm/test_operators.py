@@ -595,7 +595,6 @@ def test_toxicity(spark, awkward, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     model = toxicity.train(docs, labels.where(half), 900)
-    # in these tables, labels of other languages than English go with no wording
     rows = toxicity.classify(docs.where("lang = 'en'"), model).withColumnRenamed("toxic", "found").join(labels.where(~half), "doc_id").collect()
     caught = [r["found"] for r in rows if r["toxic"]]
     false = [r["found"] for r in rows if not r["toxic"]]
@@ -606,6 +605,39 @@ def test_toxicity(spark, awkward, empty):
     assert toxicity.classify(awkward, toxicity.train(awkward, labels.limit(0))).where("toxic").count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(6)
+    plain = [f"{a}{b}" for a in ("lo", "ra", "ti", "mu", "se") for b in ("ne", "ka", "ri", "vo", "sta", "pel")]
+    text = lambda n, bad: " ".join(rng.choice(["vileword", "grubface"]) if rng.random() < bad else rng.choice(plain) for _ in range(n))
+    rows = [(int(i % 3 == 0), text(rng.randint(30, 300), 0.04 if i % 3 == 0 else 0.0), "xx") for i in range(240)]
+    model = toxicity.fit(rows)
+    assert model.threshold < float("inf") and model.toxic[: len(model.ordinary)][:1000] == model.ordinary[:1000] and not model.ordinary.startswith(b"\x37\xa4\x30\xec")
+    long = text(6000, 0) + " " + text(32, 0.5) + " " + text(6000, 0)
+    texts = [long, text(12_000, 0), *[text(60, 0.08) for _ in range(20)], *[text(60, 0) for _ in range(20)], "", None, "?!"]
+    got = toxicity.classify(frame(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        words = toxicity.plain(t).split() if t else []
+        weight = []
+        for i in range(0, len(words), toxicity.WINDOW_WORDS):
+            window = toxicity.FIRST + b" " + b" ".join(words[i : i + toxicity.WINDOW_WORDS]) + b" " + toxicity.CARRIER
+            a, b = (len(c.compress(window)) for c in brute_lengths(model))
+            weight.append(float(model.weight[min(max(a - b, 0), len(model.weight) - 1)]))
+        whole = sum(weight) / max(1, len(weight)) ** 0.5
+        n = min(toxicity.RUN, len(weight))
+        run = max((sum(weight[i : i + n]) for i in range(len(weight) - n + 1)), default=0.0) / max(1, n) ** 0.5
+        assert r["windows"] == len(weight) and r["score"] == pytest.approx(whole) and r["passage"] == pytest.approx(run, abs=1e-9)
+        assert r["toxic"] == (r["score"] >= model.threshold or r["passage"] >= model.run_threshold)
+    assert got[0]["toxic"] and got[0]["passage"] >= model.run_threshold and not got[1]["toxic"]
+    assert sum(r["toxic"] for r in got[2:22]) >= 18 and not any(r["toxic"] for r in got[22:])
+
+
+def brute_lengths(model, held={}):  # noqa: B006
+    """Compressors of a model, made once."""
+    if held.get("key") != model.key:
+        held.update(key=model.key, of=[toxicity.Lengths.compressor(c) for c in (model.ordinary, model.toxic)])
+    return held["of"]
+
+
 def test_toxicity_in_every_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
