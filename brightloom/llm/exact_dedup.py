@@ -9,7 +9,8 @@ millions of times is no hot key.
 Defined results:
 
 * a null text has no content: such rows are nobody's copies and all stay;
-* an empty text is a text like any other;
+* an empty text is a text like any other, and so is a very long one, which is
+  hashed and compared whole;
 * a null doc_id is larger than any id; among equal ids (repeated rows) one row
   stays;
 * an empty table gives an empty result; further columns are carried along, with

@@ -17,10 +17,13 @@ have a zero embedding, so a text in an unknown language gets no more than the
 languages' prior confidence and is rejected.
 
 Defined results: null, empty and letterless texts have language null,
-confidence 0 and are rejected; rows with null lang or text are no training
-data; every row is judged by itself, so repeated rows, null ids and further
-columns change nothing. With no labelled row there is no model, and all texts
-are rejected.
+confidence 0 and are rejected; very long texts are read whole; rows with null lang
+or text are no training data, nor are those of languages beyond the `MAX_LANGS` most
+frequent labels (of equally frequent ones, the first by name are taken); of equally
+likely languages the first by name is taken; every row is judged by itself, so
+repeated rows, null ids and further columns, whatever their names, change nothing.
+With no labelled row, as in an empty table, there is no model, and all texts are
+rejected.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ RATE = 0.5
 #: An n-gram's share of a text is small; its step is scaled up by this.
 SHARE_SCALE = 100.0
 SIZES = (3, 4, 5)
+#: Languages that are learned, at most: those with the most rows.
+MAX_LANGS = 256
 MAX_REJECT = 0.0005
 LEAST_CONFIDENCE = 0.42
 JUDGED = "lang string, confidence double, accepted boolean"
@@ -172,13 +177,13 @@ def calibrate(model: Model, held: list[tuple[str, str]], max_reject: float, leas
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from at most about train_rows labelled rows of docs, an equal number for each language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return fit([])
     each = max(1, train_rows // len(counts))
     u = F.pmod(F.xxhash64(F.lit("language sample"), F.col("doc_id"), F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
-    return fit([tuple(r) for r in labelled.where(u < rate[F.col("lang")]).select("lang", "text").collect()])
+    return fit([tuple(r) for r in labelled.where(u < F.try_element_at(rate, F.col("lang"))).select("lang", "text").collect()])
 
 
 def judged(text: Column, model: Model) -> Column:

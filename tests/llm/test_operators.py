@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -237,6 +238,38 @@ def test_language_id(spark, docs, awkward, empty):
     assert language_id.identify(empty, model).count() == 0 and language_id.identify(awkward, language_id.train(empty)).where("accepted").count() == 0
 
 
+def test_language_scores_against_brute_force():
+    """Mean table rows of all n-grams of bytes inside words and at their edges, one by one."""
+    rng = np.random.default_rng(2)
+    model = language_id.Model(["a", "b"], rng.normal(size=(1 << language_id.BITS, 2)).astype(np.float32), np.array([0.1, -0.2]))
+    letter = lambda c: 97 <= c <= 122 or c >= 128
+    for text in ("Der Hund, 3 Katzen", "été naïve x", "a", "ab", "x1y", "the quick brown fox jumps"):
+        buf = b"\n" + text.lower().encode() + b"\n"
+        total, n_grams = np.zeros(2), 0
+        for n in language_id.SIZES:
+            for i in range(len(buf) - n + 1):
+                gram = buf[i : i + n]
+                if all(letter(c) for c in gram[1:-1]):
+                    h = 0
+                    for c in gram:
+                        h = (h * 0x01000193 + (c if letter(c) else 32)) & 0xFFFFFFFF
+                    h = (h + n * 0x9E37) & 0xFFFFFFFF
+                    h = ((h ^ (h >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF
+                    total += model.table[(h ^ (h >> 13)) & ((1 << language_id.BITS) - 1)]
+                    n_grams += 1
+        assert np.allclose(model.scores([text])[0], total / n_grams + model.bias, atol=1e-5)
+        e = np.exp((total / n_grams + model.bias) / model.temperature)
+        lang, top, _ = model.judge([text])
+        assert lang == [model.langs[int(e.argmax())]] and np.isclose(top[0], e.max() / e.sum(), atol=1e-5)
+
+
+def test_rare_labels_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGS", 2)
+    rows = [(i, "the cat and the dog", "en") for i in range(9)] + [(i, "der hund und die katze", "de") for i in range(20, 29)] + [(50, "zzz", f"x{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train(docs).langs == ["de", "en"]
+
+
 def test_scores_do_not_depend_on_the_batch(docs):
     rows = [(r["lang"], r["text"]) for r in docs.limit(60).collect()]
     model = language_id.fit(rows)
@@ -351,6 +384,74 @@ def test_every_license_line_is_found(spark):
     assert set(ids(licenses.scan(docs), "doc_id")) == set(ids(lines, "doc_id"))
 
 
+def brute_scan(text, templates):
+    """Spans of one text: all k-gram matches, diagonals, runs and verification in plain Python."""
+    find = lambda t: regex.findall(licenses.WORDS, t.lower())
+    own, out = find(text), set()
+    for name, raw in templates.items():
+        whole = find(raw)
+        n, k = len(whole), licenses.K
+        at = {}
+        for q in range(n - k + 1):
+            at.setdefault(tuple(whole[q : q + k]), []).append(q)
+        diagonals = {}
+        for p in range(len(own) - k + 1):
+            for q in at.get(tuple(own[p : p + k]), []):
+                diagonals.setdefault(p - q, []).append((p, q))
+        held, last = [], None
+        for d in sorted(diagonals):
+            ps = [p for p, _ in diagonals[d]]
+            if last is None or d - last[0] > licenses.DRIFT or min(ps) - last[1] > n:
+                held.append([])
+            held[-1].append(d)
+            last = (d, max(ps))
+        for run in held:
+            votes = sum(len({p for p, _ in diagonals[d]}) for d in run)
+            if votes < max(1, -(-(n - k + 1) // 2)):
+                continue
+            a = min(min(p for p, _ in diagonals[d]) - min(q for _, q in diagonals[d]) for d in run)
+            b = max(max(p for p, _ in diagonals[d]) + n - max(q for _, q in diagonals[d]) for d in run)
+            a, b = max(a, 0), min(b, len(own))
+            span, target = " ".join(own[a:b]), " ".join(whole)
+            *_, distance = [len(span)] if not target else [whole_distance(span, target)]
+            if distance <= int(licenses.MAX_DISTANCE * len(target)):
+                out.add((name, a, b, votes, distance))
+    return out
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        diagonal, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
+def test_licenses_against_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    short = {k: v for k, v in licenses.TEMPLATES.items() if len(v) < 260}
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            w = rng.choice(list(short.values())).split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                at = rng.randrange(len(w))
+                rng.choice([lambda: w.pop(at), lambda: w.insert(at, "extra"), lambda: w.__setitem__(at, "other")])()
+            parts += [" ".join(rng.choice(["this", "license", "work", "the", "foo"]) for _ in range(rng.randint(0, 9))), " ".join(w)]
+        texts.append(" ".join(parts))
+    want = {(i, *hit) for i, t in enumerate(texts) for hit in brute_scan(t, short)}
+    got = {(r["doc_id"], r["license"], r["from_word"], r["to_word"], r["votes"], r["distance"]) for r in licenses.scan(frame(spark, list(enumerate(texts))), short).collect()}
+    assert got == want and len(want) > 60
+    for name in ("MIT (notice)", "ISC"):
+        (tmp_path / f"{name}.txt").write_text(licenses.TEMPLATES[name])
+    docs = frame(spark, [(1, licenses.TEMPLATES["ISC"])])
+    assert ids(licenses.scan(docs, licenses.templates_in(spark, str(tmp_path))), "license") == ["ISC"]
+    with pytest.raises(Exception, match="fewer than"):
+        licenses.scan(docs, {"x": "two words"}).collect()
+
+
 # web pages
 
 
