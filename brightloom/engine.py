@@ -67,7 +67,7 @@ def remote_read(store: object, start_ms: int, end_ms: int, matchers: list[tuple[
     if native is None:
         df = df.withColumn("histograms", F.lit(None).cast(f"array<struct<ts:bigint,h:{wire.H_DDL}>>"))
     else:
-        held = native.df.groupBy(*native.keys).agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("ts"), F.col("v").alias("h"))), lambda a, b: (a["ts"] - b["ts"]).cast("int")).alias("histograms"))
+        held = native.df.groupBy(*native.keys).agg(F.array_sort(F.collect_list(F.struct(F.col("t").alias("ts"), F.col("v").alias("h"))), lambda a, b: F.sign(a["ts"] - b["ts"]).cast("int")).alias("histograms"))
         df = df.join(held, native.keys, "full")
     return points.attach(df).select("labels", "samples", "histograms")
 

@@ -32,25 +32,29 @@ def matchers_of(selectors: Sequence[str]) -> list[Matchers]:
 
 def series(store: object, selectors: Sequence[str] = (), start_ms: int | None = None, end_ms: int | None = None, limit: int | None = None) -> DataFrame:
     """(labels) of the series that meet any selector and have samples in the range, in label order."""
+    found = met(store, selectors, start_ms, end_ms).withColumn("key", L.key(F.col("labels"))).dropDuplicates(["key"]).orderBy("key").select("labels")
+    return found if limit is None else found.limit(limit)
+
+
+def met(store: object, selectors: Sequence[str], start_ms: int | None, end_ms: int | None) -> DataFrame:
+    """(labels) of the series, in no order; those that several selectors meet are repeated."""
     found = None
     for m in matchers_of(selectors):
         part = store.series(m, start_ms, end_ms).select("labels")
         found = part if found is None else found.unionByName(part)
-    key = L.key(F.col("labels"))
-    found = found.withColumn("key", key).dropDuplicates(["key"]).orderBy("key").select("labels")
-    return found if limit is None else found.limit(limit)
+    return found
 
 
 def label_names(store: object, selectors: Sequence[str] = (), start_ms: int | None = None, end_ms: int | None = None, limit: int | None = None) -> DataFrame:
     """(name): the label names in use, __name__ always among them."""
-    names = series(store, selectors, start_ms, end_ms).select(F.explode(F.map_keys("labels")).alias("name"))
+    names = met(store, selectors, start_ms, end_ms).select(F.explode(F.map_keys("labels")).alias("name"))
     names = names.unionByName(store.spark.range(1).select(F.lit(L.NAME).alias("name"))).distinct().orderBy("name")
     return names if limit is None else names.limit(limit)
 
 
 def label_values(store: object, name: str, selectors: Sequence[str] = (), start_ms: int | None = None, end_ms: int | None = None, limit: int | None = None) -> DataFrame:
     """(value): the values of a label."""
-    values = series(store, selectors, start_ms, end_ms).select(F.col("labels")[name].alias("value")).where("value <> ''").distinct().orderBy("value")
+    values = met(store, selectors, start_ms, end_ms).select(F.col("labels")[name].alias("value")).where("value <> ''").distinct().orderBy("value")
     return values if limit is None else values.limit(limit)
 
 

@@ -345,3 +345,19 @@ def test_histogram_rates_and_sums(spark):
     assert 1 <= q[1] <= 4 and engine.promql_instant(store, "histogram_count(r + r)", 30_000).count() == 0
     # 100 in (1, 1.41] and 100 in (1.41, 2] at the finer resolution are 200 in (1, 2] at the coarser; the coarser's own lie in (1, 2] and (2, 4]
     assert H.counts_by_index(h(100, 1), 0) == ({1: 200.0}, {})
+
+
+def test_read_of_histograms_far_apart(spark):
+    h = {"schema": 0, "sum": 1.0, "count": 1.0, "zero_threshold": 0.0, "zero_count": 1.0, "pos_spans": [], "pos_buckets": [], "neg_spans": [], "neg_buckets": []}
+    times = [0, 30 * 86_400_000, 3 * 86_400_000, 400 * 86_400_000]  # more milliseconds apart than 32 bits hold
+    store = metric_store(spark, {"r": [({"i": "a"}, [(0, 0)])]})
+    store.histograms = spark.createDataFrame([(1, 0, t, t, h) for t in times], stores.HISTOGRAMS)
+    (r,) = engine.remote_read(store, 0, times[-1], [("__name__", "=", "r")]).collect()
+    assert [x["ts"] for x in r["histograms"]] == sorted(times)
+
+
+def test_names_and_values_are_sorted_once(spark):
+    store = metric_store(spark, {"a": [({"x": "1"}, [(0, 1)]), ({"x": "2", "y": "3"}, [(0, 1)])]})
+    for found in (metadata.label_names(store, ["a", 'a{y="3"}']), metadata.label_values(store, "x", ["a", 'a{y="3"}'])):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Sort [") == 1
+    assert [r[0] for r in metadata.label_values(store, "x", ["a", 'a{y="3"}']).collect()] == ["1", "2"]
