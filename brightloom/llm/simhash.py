@@ -359,7 +359,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int = KEY_BITS, tables: int = TABLES, cell: int = CELL) -> DataFrame:
     """(doc_id, keep_id) for each document that is in a group but not its smallest."""
     fps = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fp"))
-    fps = cut(fps.where(F.col("fp").isNotNull()))
+    # before the cut this filter would move below the projection, and each text be fingerprinted twice
+    fps = cut(fps).where(F.col("fp").isNotNull())
     points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     same = fps.join(points.withColumnRenamed("doc_id", "a"), "fp").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     return components(same.unionByName(forest(points, radius, key_bits, tables, cell)))

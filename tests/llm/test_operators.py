@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -339,6 +340,21 @@ def test_near_duplicates_recall(spark):
     assert simhash.near_dedup(docs).count() == len(rows) - len(got)
 
 
+def test_each_text_is_fingerprinted_once(spark, docs, monkeypatch):
+    """A filter on fingerprints that moves below their projection would compute them twice, by two workers for each task."""
+    done = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("binary")
+    def counted(texts: pd.Series) -> pd.Series:
+        done.add(len(texts))
+        return pd.Series(simhash.fingerprints(list(texts), simhash.projection()), dtype=object)
+
+    want = ids(simhash.near_duplicates(docs), "doc_id", "keep_id")
+    monkeypatch.setattr(simhash, "fingerprint", counted)
+    assert ids(simhash.near_duplicates(docs), "doc_id", "keep_id") == want
+    assert done.value == docs.where("doc_id is not null and text is not null").count()
+
+
 def test_near_duplicates_on_awkward_rows(spark, awkward, empty):
     assert ids(simhash.near_duplicates(awkward), "doc_id", "keep_id") == [(2, 1), (9, 8)]
     kept = simhash.near_dedup(awkward)
