@@ -114,7 +114,7 @@ def write_tables(bodies: DataFrame, team_id: int, interval_ms: int = INTERVAL_MS
     of = lambda kind: rows.where(F.col("kind") == kind)
     points = of("sample").select("team_id", "labels", "ts_ms", "v", "is_stale", "arrival_seq")
     native = of("histogram").select("team_id", "labels", "ts_ms", "h")
-    every = points.select("team_id", "labels", "ts_ms", F.lit(0.0).alias("v"), F.lit(True).alias("is_stale")).unionByName(native.select("team_id", "labels", "ts_ms", F.lit(0.0).alias("v"), F.lit(True).alias("is_stale")))
+    every = rows.where(F.col("kind").isin("sample", "histogram")).select("team_id", "labels", "ts_ms", F.lit(0.0).alias("v"), F.lit(True).alias("is_stale"))  # not a union, which decodes every body twice
     return {
         "series": new_series(every, none, interval_ms),
         "samples": samples(points, interval_ms),

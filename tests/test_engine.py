@@ -361,3 +361,34 @@ def test_names_and_values_are_sorted_once(spark):
     for found in (metadata.label_names(store, ["a", 'a{y="3"}']), metadata.label_values(store, "x", ["a", 'a{y="3"}'])):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Sort [") == 1
     assert [r[0] for r in metadata.label_values(store, "x", ["a", 'a{y="3"}']).collect()] == ["1", "2"]
+
+
+def test_small_bodies_share_batches(spark, monkeypatch):
+    from brightloom.sources import wire
+
+    made, from_arrays = [], wire.pa.RecordBatch.from_arrays
+
+    class Counted:
+        @staticmethod
+        def from_arrays(arrays, schema):
+            made.append(len(arrays[0]))
+            return from_arrays(arrays, schema=schema)
+
+    class Frame:  # runs the function of mapInArrow here
+        columns = ("body", "arrival_seq")
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    body = lambda i: wire.packed(wire.put(1, wire.put_series({"__name__": "m", "a": str(i)}, [(i, 1.5)])))
+    spark.range(1)  # columns need a session
+    run = wire._rows(Frame(), wire.write_request, wire.WRITTEN, wire.WRITTEN_DDL)
+    monkeypatch.setattr(wire.pa, "RecordBatch", Counted)
+    bodies = [body(0), None, b"bad", *map(body, range(1, 10_000))]
+    rows = [r for b in run([wire.pa.table({"body": bodies, "arrival_seq": list(range(len(bodies)))})]) for r in b.to_pylist()]
+    assert made == [wire.BATCH_ROWS, 10_001 - wire.BATCH_ROWS] and len(rows) == 10_001
+    assert [r["arrival_seq"] >> 24 for r in rows] == [i for i, b in enumerate(bodies) if b is not None]
+    assert rows[1]["error"] and dict(rows[-1]["labels"]) == {"__name__": "m", "a": "9999"}
