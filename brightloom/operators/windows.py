@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brightloom.functions.ieee import INF, NAN, lit
-from brightloom.plans.grid import Grid, buckets, fan_out, fan_out_buckets
+from brightloom.plans.grid import Grid, buckets, ceil_div, fan_out, fan_out_buckets, floor_div
 
 
 def largest(v: Column) -> Column:
@@ -74,31 +74,50 @@ def quantile_over_time(points: DataFrame, keys: Sequence[str], grid: Grid, windo
     return fan_out(points, grid, window).groupBy(*keys, "k").agg(how.alias("v"))
 
 
-#: What a run of neighbouring points comes to, and how runs are joined: (of points, of runs).
+_first, _last = (lambda a, n: F.element_at(a, 1)[n]), (lambda a, n: F.element_at(a, -1)[n])
+_total = lambda a, n: F.aggregate(a, F.lit(0).cast("bigint") if n == "n" else lit(0.0), lambda s, x: s + x[n])
+
+#: What a run of neighbouring points comes to, and what a window of such runs does: (of points, of an array of runs in time order).
 STATE = {
-    "n": (lambda: F.count(F.lit(1)), lambda: F.sum("n")),
-    "t0": (lambda: F.min("t"), lambda: F.min("t0")),
-    "t1": (lambda: F.max("t"), lambda: F.max("t1")),
-    "v0": (lambda: F.min_by("v", "t"), lambda: F.min_by("v0", "t0")),
-    "v1": (lambda: F.max_by("v", "t"), lambda: F.max_by("v1", "t1")),
-    "pv": (lambda: F.max_by("pv", "t"), lambda: F.max_by("pv", "t1")),
-    "pt": (lambda: F.max_by("pt", "t"), lambda: F.max_by("pt", "t1")),
-    "marks": (lambda: F.sum("mark"), lambda: F.sum("marks")),
-    "mark0": (lambda: F.min_by("mark", "t"), lambda: F.min_by("mark0", "t0")),
+    "n": (lambda: F.count(F.lit(1)), _total),
+    "t0": (lambda: F.min("t"), _first),
+    "t1": (lambda: F.max("t"), _last),
+    "v0": (lambda: F.min_by("v", "t"), _first),
+    "v1": (lambda: F.max_by("v", "t"), _last),
+    "pv": (lambda: F.max_by("pv", "t"), _last),
+    "pt": (lambda: F.max_by("pt", "t"), _last),
+    "marks": (lambda: F.sum("mark"), _total),
+    "mark0": (lambda: F.min_by("mark", "t"), _first),
 }
 
 
+def runs(reduced: DataFrame, keys: Sequence[str], grid: Grid, window: int) -> DataFrame:
+    """(keys..., k, runs): the steps of each window, in time order, from one row (keys..., b, ...) for each step.
+
+    A step makes the windows in which it is the last, so that no window is put
+    together from rows that lie apart: the rows of a task are sorted once, before
+    they are fanned out, and never grouped or sorted after it.
+    """
+    wide = window // grid.step
+    own = Window.partitionBy(*keys).orderBy("b")
+    held = F.collect_list(F.struct("b", *[c for c in reduced.columns if c not in keys and c != "b"])).over(own.rangeBetween(1 - wide, 0))
+    last = F.least(F.col("b") + (wide - 1), F.lit(grid.last), F.lead("b").over(own) - 1)
+    found = reduced.select(*keys, F.greatest(F.col("b"), F.lit(0)).alias("lo"), last.alias("hi"), held.alias("held")).where("lo <= hi")
+    found = found.select(*keys, "held", F.explode(F.sequence("lo", "hi")).alias("k"))
+    return found.select(*keys, "k", F.filter("held", lambda x: x["b"] > F.col("k") - wide).alias("runs"))
+
+
 def states(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, names: Sequence[str]) -> DataFrame:
     """(keys..., k, names...): STATE of each window.
 
     Where the window is several whole steps, points are first reduced to one row
-    for each step, and only those are fanned out.
+    for each step.
     """
     bucketed = buckets(points, grid, window)
     if bucketed is None:
         return fan_out(points, grid, window).groupBy(*keys, "k").agg(*[STATE[n][0]().alias(n) for n in names])
     reduced = bucketed.groupBy(*keys, "b").agg(*[STATE[n][0]().alias(n) for n in names])
-    return fan_out_buckets(reduced, grid, window).groupBy(*keys, "k").agg(*[STATE[n][1]().alias(n) for n in names])
+    return runs(reduced, keys, grid, window).select(*keys, "k", *[STATE[n][1](F.col("runs"), n).alias(n) for n in names])
 
 
 def extrapolated(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, function: str, unit: int) -> DataFrame:
@@ -136,8 +155,11 @@ def extrapolated(points: DataFrame, keys: Sequence[str], grid: Grid, window: int
 def instantaneous(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, function: str, unit: int) -> DataFrame:
     """irate and idelta: of the last two points of each window."""
     own = Window.partitionBy(*keys).orderBy("t")
-    paired = points.withColumn("pv", F.lag("v").over(own)).withColumn("pt", F.lag("t").over(own))
-    g = states(paired, keys, grid, window, ["v1", "pv", "pt", "t1"])
+    paired = points.withColumn("pv", F.lag("v").over(own)).withColumn("pt", F.lag("t").over(own)).withColumn("nt", F.lead("t").over(own)).withColumnsRenamed({"v": "v1", "t": "t1"})
+    at, after = F.col("t1"), ceil_div(F.col("nt") - grid.start, grid.step) - 1
+    low = F.greatest(F.lit(0).cast("bigint"), ceil_div(at - grid.start, grid.step)).cast("int")
+    high = F.least(F.lit(grid.last).cast("bigint"), floor_div(at + (window - 1 - grid.start), grid.step), after).cast("int")
+    g = paired.withColumn("lo", low).withColumn("hi", high).where("lo <= hi").withColumn("k", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")  # the windows of which a point is the last
     g = g.where(F.col("pt") > grid.time(F.col("k")) - window)
     change = F.col("v1") - F.col("pv")
     if function == "irate":

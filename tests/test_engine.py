@@ -392,3 +392,11 @@ def test_small_bodies_share_batches(spark, monkeypatch):
     assert made == [wire.BATCH_ROWS, 10_001 - wire.BATCH_ROWS] and len(rows) == 10_001
     assert [r["arrival_seq"] >> 24 for r in rows] == [i for i, b in enumerate(bodies) if b is not None]
     assert rows[1]["error"] and dict(rows[-1]["labels"]) == {"__name__": "m", "a": "9999"}
+
+
+@pytest.mark.parametrize("query", ["rate(event_value[1d])", "irate(event_value[1d])", "resets(event_value[1d])"])
+def test_windows_are_not_grouped_after_the_fan_out(spark, query):
+    store = stores.events_metrics(spark, "/root/testdata/sf0.001")
+    plan = engine.promql_range(store, query, 1704067200000, 1706659200000, 3_600_000)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    fan_out = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert not [line for line in plan[:fan_out] if "Aggregate" in line or "Sort" in line or "Window" in line]
