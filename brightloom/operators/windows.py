@@ -179,8 +179,27 @@ def flips(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, funct
 
 def regression(points: DataFrame, keys: Sequence[str], grid: Grid, window: int, unit: int, ahead: float | None = None) -> DataFrame:
     """Slope of the least-squares line, or its value `ahead` seconds after the window."""
-    fanned = fan_out(points, grid, window).withColumn("x", (F.col("t") - grid.time(F.col("k"))) / unit)
-    g = fanned.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("v", "x").alias("slope"), F.regr_intercept("v", "x").alias("level"))
+    bucketed = buckets(points, grid, window)
+    if bucketed is None:
+        fanned = fan_out(points, grid, window).withColumn("x", (F.col("t") - grid.time(F.col("k"))) / unit)
+        g = fanned.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("v", "x").alias("slope"), F.regr_intercept("v", "x").alias("level"))
+    else:  # moments of each step about its own means, with times from its end
+        x = bucketed.withColumn("x", (F.col("t") - grid.time(F.col("b"))) / unit)
+        reduced = x.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"), F.regr_count("v", "x").cast("double").alias("c"), F.regr_avgx("v", "x").alias("mx"), F.regr_avgy("v", "x").alias("mv"), F.regr_sxx("v", "x").alias("sxx"), F.regr_sxy("v", "x").alias("sxy"))
+        g = runs(reduced, keys, grid, window).where((F.size("runs") > 1) | (F.col("runs")[0]["n"] > 1))
+
+        def joined(m: Column, y: Column) -> Column:
+            """The moments of two sets of points from those of each."""
+            c, dv = m["c"] + y["c"], y["mv"] - m["av"]
+            dx = y["mx"] + (y["b"] - F.col("k")) * lit(grid.step / unit) - m["ax"]
+            share, both = y["c"] / c, m["c"] * y["c"] / c
+            return F.struct(c.alias("c"), (m["ax"] + dx * share).alias("ax"), (m["av"] + dv * share).alias("av"), (m["xx"] + y["sxx"] + dx * dx * both).alias("xx"), (m["xy"] + y["sxy"] + dx * dv * both).alias("xy"))
+
+        none = F.struct(*[lit(0.0).alias(n) for n in ("c", "ax", "av", "xx", "xy")])
+        g = g.select(*keys, "k", F.aggregate(F.filter("runs", lambda y: y["c"] > 0), none, joined).alias("m")).where("m.xx > 0")  # points of one time have no slope
+        slope = F.col("m.xy") / F.col("m.xx")
+        v = slope if ahead is None else F.col("m.av") + slope * (ahead - F.col("m.ax"))
+        return g.select(*keys, "k", v.alias("v"))
     v = F.col("slope") if ahead is None else F.col("level") + F.col("slope") * ahead
     return g.where("n >= 2 and slope is not null").select(*keys, "k", v.alias("v"))
 

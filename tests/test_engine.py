@@ -394,9 +394,19 @@ def test_small_bodies_share_batches(spark, monkeypatch):
     assert rows[1]["error"] and dict(rows[-1]["labels"]) == {"__name__": "m", "a": "9999"}
 
 
-@pytest.mark.parametrize("query", ["rate(event_value[1d])", "irate(event_value[1d])", "resets(event_value[1d])"])
+@pytest.mark.parametrize("query", ["rate(event_value[1d])", "irate(event_value[1d])", "resets(event_value[1d])", "deriv(event_value[1d])"])
 def test_windows_are_not_grouped_after_the_fan_out(spark, query):
     store = stores.events_metrics(spark, "/root/testdata/sf0.001")
     plan = engine.promql_range(store, query, 1704067200000, 1706659200000, 3_600_000)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     fan_out = next(i for i, line in enumerate(plan) if "Generate explode" in line)
     assert not [line for line in plan[:fan_out] if "Aggregate" in line or "Sort" in line or "Window" in line]
+
+
+def test_slopes_of_steps(spark):
+    """Points of one time alone have no slope, however many; steps are put together as one window."""
+    same = [(7_000, v) for v in (1, 2, 5)]
+    store = metric_store(spark, {"m": [({"a": "same"}, same), ({"a": "line"}, [(t, 3 * t / 1000 + 1) for t in (1_000, 4_000, 12_000, 13_000, 25_000)])]})
+    found = values(engine.promql_range(store, "deriv(m[30s])", 0, 40_000, 10_000), "a")
+    assert {r[0] for r in found} == {"line"} and {r[-1] for r in found} == {3.0}
+    ahead = values(engine.promql_range(store, "predict_linear(m[30s], 5)", 0, 40_000, 10_000), "a")
+    assert [(t, v) for _, t, v in ahead] == [(t, 3 * (t / 1000 + 5) + 1) for t in (10_000, 20_000, 30_000, 40_000)]
